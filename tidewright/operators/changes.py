@@ -6,12 +6,11 @@ events first, finds the buckets they touch, merges only those with the stored
 rows of the same buckets, writes replacement files and commits a new manifest;
 files of untouched buckets are carried over by name.
 
-What is stored per entity is closed under merging, so loads may come late, out
-of order or twice: the event that last created or deleted the entity, the
-latest value of every field with the order at which it was set, and the
-identifiers seen (an event counts once, at the lowest ``feed_seq``).  An
-entity is there if the last of its creates and deletes is a create; its fields
-are that create's, overlaid by the updates after it.  No group is folded event
+Two kinds of files lie in a bucket: the ledger of the events seen, each once at
+its lowest ``feed_seq``, and the entities they leave.  Loads may therefore come
+late, out of order or twice, equal timestamps included.  An entity is there if
+the last of its creates and deletes is a create; its fields are that create's,
+overlaid by the latest update of each field after it.  No group is folded event
 by event: every step is an aggregate with map-side combine, so an entity with
 a third of all events costs one row per field and task.
 """
@@ -28,8 +27,8 @@ from pyspark.sql import functions as F
 from ..functions import jsontext as J
 from ..session import scratch
 
-#: k: 'E' an event seen, 'B' the last create or delete, 'F' a field. (ts, seq) is the order; f the field or event; v the value.
-STATE = "bucket int, entity_id string, k string, f string, ts timestamp_ntz, seq bigint, v string, present boolean"
+LEDGER = "event string, entity_id string, kind string, ts timestamp_ntz, seq bigint, data string"
+STATE = "entity_id string, field_name string, field_value string"
 
 
 @F.pandas_udf("array<struct<f:string,v:string>>")
@@ -73,33 +72,22 @@ def normalize_feed(df: DataFrame) -> DataFrame:
         F.when(kind == "created", F.col("entity_data")).when(kind == "updated", F.col("changes")).alias("data"),
         kind.isin("created", "updated", "deleted").alias("ok"),
     ).where("ok and entity_id is not null and ts is not null and seq is not null")
-    return rows.groupBy("event").agg(F.min_by(F.struct("entity_id", "kind", "ts", "seq", "data"), "seq").alias("e")).select("event", "e.*")
+    return _once(rows.drop("ok"))
 
 
-def _latest(rows: DataFrame) -> DataFrame:
-    """Collapse rows of the state layout: the highest order wins, for events the lowest seq."""
-    order = F.struct("ts", F.when(F.col("k") == "E", -F.col("seq")).otherwise(F.col("seq")))
-    return rows.groupBy("bucket", "entity_id", "k", "f").agg(F.max_by(F.struct("ts", "seq", "v", "present"), order).alias("w")).select("bucket", "entity_id", "k", "f", "w.*")
+def _once(events: DataFrame) -> DataFrame:
+    return events.groupBy("event").agg(F.min_by(F.struct("entity_id", "kind", "ts", "seq", "data"), "seq").alias("e")).select("event", "e.*")
 
 
-def _state_rows(events: DataFrame, buckets: int) -> DataFrame:
-    """Deduplicated events in the state layout, not yet collapsed."""
-    at = F.pmod(F.xxhash64("entity_id"), F.lit(buckets)).cast("int").alias("bucket")
-    keys = [at, "entity_id"]
-    none = F.lit(None).cast("string")
-    seen = events.select(*keys, F.lit("E").alias("k"), F.col("event").alias("f"), "ts", "seq", none.alias("v"), F.lit(True).alias("present"))
-    base = events.where("kind in ('c', 'd')").select(*keys, F.lit("B").alias("k"), F.lit("").alias("f"), "ts", "seq", F.when(F.col("kind") == "c", F.col("data")).alias("v"), (F.col("kind") == "c").alias("present"))
-    ups = events.where("kind = 'u' and data is not null").select(*keys, "ts", "seq", F.explode(updated_fields("data")).alias("x"))
-    ups = ups.select("bucket", "entity_id", F.lit("F").alias("k"), F.col("x.f").alias("f"), "ts", "seq", F.col("x.v").alias("v"), F.col("x.v").isNotNull().alias("present"))
-    return seen.unionByName(base).unionByName(ups)
-
-
-def _present(state: DataFrame) -> DataFrame:
-    """(entity_id, field_name, field_value) of what exists, from collapsed state rows."""
-    base = state.where("k = 'B' and present").select("entity_id", F.struct("ts", "seq").alias("b"), F.col("v").alias("data"))
-    made = base.select("entity_id", "b", F.explode(created_fields("data")).alias("x")).select("entity_id", F.col("x.f").alias("f"), F.col("x.v").alias("v"), F.lit(0).alias("late"))
-    ups = state.where("k = 'F'").select("entity_id", "f", "v", F.struct("ts", "seq").alias("o"))
-    ups = ups.join(base.select("entity_id", "b"), "entity_id").where("o > b").select("entity_id", "f", "v", F.lit(1).alias("late"))
+def fold(events: DataFrame) -> DataFrame:
+    """(entity_id, field_name, field_value) that deduplicated events leave behind."""
+    order = F.struct("ts", "seq")
+    base = events.where("kind in ('c', 'd')").groupBy("entity_id").agg(F.max_by(F.struct("kind", "data", order.alias("b")), order).alias("w"))
+    base = base.select("entity_id", "w.*").where("kind = 'c'")
+    made = base.select("entity_id", F.explode(created_fields("data")).alias("x")).select("entity_id", F.col("x.f").alias("f"), F.col("x.v").alias("v"), F.lit(0).alias("late"))
+    ups = events.where("kind = 'u' and data is not null").select("entity_id", order.alias("o"), F.explode(updated_fields("data")).alias("x"))
+    ups = ups.groupBy("entity_id", F.col("x.f").alias("f")).agg(F.max_by(F.struct("x.v", "o"), "o").alias("w"))
+    ups = ups.join(base.select("entity_id", "b"), "entity_id").where("w.o > b").select("entity_id", "f", F.col("w.v").alias("v"), F.lit(1).alias("late"))
     both = made.unionByName(ups).groupBy("entity_id", "f").agg(F.max_by(F.struct("v"), "late").alias("w"))
     return both.select("entity_id", F.col("f").alias("field_name"), F.col("w.v").alias("field_value")).where("field_value is not null")
 
@@ -142,51 +130,51 @@ class CowTable:
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 256):
         self.spark, self.path, self.buckets = spark, path or scratch(spark, "cow"), buckets
         self.files = _Files(spark, self.path)
+        self._listed: dict[str, set[str]] = {}
 
     def version(self) -> int:
         return max((int(n[9:-5]) for n in self.files.names(self.path) if n.startswith("manifest-") and n.endswith(".json")), default=0)
 
-    def manifest(self) -> dict[str, list[str]]:
-        """Bucket -> directories of its current files."""
+    def manifest(self) -> dict[str, str]:
+        """Bucket -> version directory that holds its current files."""
         v = self.version()
         return json.loads(self.files.read(f"{self.path}/manifest-{v}.json"))["buckets"] if v else {}
 
-    def _read(self, where: dict[str, list[str]]) -> DataFrame:
-        paths = sorted({f"{d}/bucket={b}" for b, dirs in where.items() for d in dirs})
-        if not paths:
-            return self.spark.createDataFrame([], STATE)
-        schema = STATE.replace("bucket int, ", "")
-        df = self.spark.read.schema(schema).parquet(*paths)
-        return df.select(F.pmod(F.xxhash64("entity_id"), F.lit(self.buckets)).cast("int").alias("bucket"), "*")
+    def _bucket(self):
+        return F.pmod(F.xxhash64("entity_id"), F.lit(self.buckets)).cast("int")
+
+    def _read(self, kind: str, schema: str, where: dict[str, str]) -> DataFrame:
+        paths = [f"{d}/{kind}/bucket={b}" for b, d in where.items() if f"bucket={b}" in self._names(f"{d}/{kind}")]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _names(self, path: str) -> set[str]:
+        if path not in self._listed:
+            self._listed[path] = set(self.files.names(path))
+        return self._listed[path]
+
+    def _write(self, df: DataFrame, path: str, *order: str) -> None:
+        rows = df.withColumn("bucket", self._bucket()).repartition("bucket", F.pmod(F.xxhash64(*order), F.lit(4)))
+        rows.sortWithinPartitions("bucket", *order).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
 
     def apply(self, feed: DataFrame) -> "CowTable":
         """Merge one load of the change feed and commit; a failure leaves the old version."""
         version, old = self.version() + 1, self.manifest()
-        events = normalize_feed(feed)
         target = f"{self.path}/data-{version}-{uuid.uuid4().hex[:8]}"
+        events = normalize_feed(feed)
         if old:
             # Touched buckets: at most ``self.buckets`` small numbers reach the driver.
-            at = F.pmod(F.xxhash64("entity_id"), F.lit(self.buckets)).cast("int")
-            touched = {str(r[0]) for r in feed.where("entity_id is not null").select(at).distinct().collect()}
-            stored = self._read({b: d for b, d in old.items() if b in touched})
-            # An event seen before keeps the lower of both sequence numbers.
-            known = stored.where("k = 'E'").select(F.col("f").alias("event"), F.col("seq").alias("before"))
-            events = events.join(known, "event", "left").withColumn("seq", F.least("seq", "before")).drop("before")
-            rows = stored.unionByName(_state_rows(events, self.buckets))
-        else:
-            rows = _state_rows(events, self.buckets)
-        merged = _latest(rows)
-        merged.repartition("bucket", F.pmod(F.xxhash64("entity_id", "f"), F.lit(4))).sortWithinPartitions("bucket", "entity_id", "k", "f").write.option("compression", "zstd").partitionBy("bucket").parquet(target)
-        new = dict(old)
-        for n in self.files.names(target):
-            if n.startswith("bucket="):
-                new[n[7:]] = [target]
-        self.files.commit(f"{self.path}/manifest-{version}.json", json.dumps({"version": version, "buckets": new}))
+            touched = {str(r[0]) for r in feed.where("entity_id is not null").select(self._bucket()).distinct().collect()}
+            stored = self._read("ledger", LEDGER, {b: d for b, d in old.items() if b in touched})
+            events = _once(stored.unionByName(events))
+        self._write(events, f"{target}/ledger", "entity_id", "event")
+        new = dict.fromkeys((n[7:] for n in self.files.names(f"{target}/ledger") if n.startswith("bucket=")), target)
+        self._write(fold(self._read("ledger", LEDGER, new)), f"{target}/state", "entity_id", "field_name")
+        self.files.commit(f"{self.path}/manifest-{version}.json", json.dumps({"version": version, "buckets": old | new}))
         return self
 
     def state(self) -> DataFrame:
         """(entity_id, field_name, field_value): one row per field that isn't null of each existing entity."""
-        return _present(self._read(self.manifest()))
+        return self._read("state", STATE, self.manifest())
 
 
 def current_state(feed: DataFrame, buckets: int = 64) -> DataFrame:
