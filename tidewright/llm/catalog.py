@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, table
-from . import bytebpe, formatting, packing
+from . import bytebpe, formatting, packing, spam
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +35,10 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p7_ids": p7_ids, "p8_packed": p8_packed}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages made for attention: (doc_id)."""
+    return spam.spam_pages(table(prepare(spark), sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
 SQL: dict[str, str] = {}
