@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import changes, messages, nested
+from ..operators import changes, messages, nested, profile
 from ..session import prepare, table
 
 
@@ -34,7 +34,30 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.message_copies(table(prepare(spark), sf_dir, "event_messages"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_objects": p3_objects, "p3_bridge": p3_bridge, "p6_found": p6_found}
+#: Schema names whose records are flat. (fixed values of the task's statement)
+FLAT = ("attack_feed", "takedown_feed", "alert_feed", "social_accounts", "harvest_hosts", "malware_samples")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that break the form of their field, and loads that stand apart: (job_id, record_id, field_name)."""
+    prepare(spark)
+    # One row per schema version, a table that doesn't grow.
+    flat = table(spark, sf_dir, "basecamp_schemas").where(F.col("name").isin(*FLAT)).select(F.col("id").alias("schema_id"), F.col("name").alias("scope"))
+    ids = [r[0] for r in flat.select("schema_id").distinct().collect()]
+    records = table(spark, sf_dir, "data_records").where(F.col("schema_id").isin(ids) & F.col("data").isNotNull())
+    records = records.select("id", F.col("ingestion_job_id").alias("job"), "data", "schema_id").join(F.broadcast(flat), "schema_id").select("scope", "job", "id", "data")
+    names = table(spark, sf_dir, "ingestion_jobs").where(F.col("schema_id").isin(ids)).select("id", "file_name", "schema_id").join(F.broadcast(flat), "schema_id")
+    names = profile.malformed_names(names).select("job_id", F.lit("").alias("record_id"), F.lit("file_name").alias("field_name"))
+    return profile.find_violations(records).unionByName(names)
+
+
+def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column profile of two tables from their footers: (table_name, column_name, n_rows, n_nulls, distinct_values)."""
+    prepare(spark)
+    return profile.column_profile(table(spark, sf_dir, "ingestion_jobs"), "ingestion_jobs").unionByName(profile.column_profile(table(spark, sf_dir, "data_records"), "data_records"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_profile": p5_profile, "p2_found": p2_found, "p3_found": p3_found, "p3_objects": p3_objects, "p3_bridge": p3_bridge, "p6_found": p6_found}
 
 SQL = {
     "p6_found": r"""
