@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import changes, messages, nested, profile
+from ..operators import changes, drift, messages, nested, profile
 from ..session import prepare, table
 
 
@@ -34,6 +34,24 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.message_copies(table(prepare(spark), sf_dir, "event_messages"))
 
 
+def _loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "data_records").select("id", F.col("ingestion_job_id").alias("job"), "schema_id", "data")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of layout between versions, and between schemas and loads: (scope_id, change_kind, field_name, new_name)."""
+    prepare(spark)
+    schemas = table(spark, sf_dir, "basecamp_schemas")
+    return drift.version_changes(schemas).unionByName(drift.load_changes(_loads(spark, sf_dir), schemas))
+
+
+def p4_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records in one table under one name per field: (record_id, job_id, scope, field_name, field_value)."""
+    prepare(spark)
+    rows = drift.unified(_loads(spark, sf_dir), table(spark, sf_dir, "basecamp_schemas"))
+    return rows.select("record_id", "job_id", "scope", F.explode("fields").alias("field_name", "field_value"))
+
+
 #: Schema names whose records are flat. (fixed values of the task's statement)
 FLAT = ("attack_feed", "takedown_feed", "alert_feed", "social_accounts", "harvest_hosts", "malware_samples")
 
@@ -57,7 +75,7 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.column_profile(table(spark, sf_dir, "ingestion_jobs"), "ingestion_jobs").unionByName(profile.column_profile(table(spark, sf_dir, "data_records"), "data_records"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_profile": p5_profile, "p2_found": p2_found, "p3_found": p3_found, "p3_objects": p3_objects, "p3_bridge": p3_bridge, "p6_found": p6_found}
+QUERIES = {"p4_found": p4_found, "p4_unified": p4_unified, "p5_found": p5_found, "p5_profile": p5_profile, "p2_found": p2_found, "p3_found": p3_found, "p3_objects": p3_objects, "p3_bridge": p3_bridge, "p6_found": p6_found}
 
 SQL = {
     "p6_found": r"""
