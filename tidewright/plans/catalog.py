@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import entities, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
-
-
-def flagship(spark, sf_dir):
-    return QUERIES["p6_found"](spark, sf_dir)
+MODULES = (entities, problems)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
+#: The flagship query.
+flagship = entities.entity_threat_summary
