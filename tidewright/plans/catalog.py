@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import entities, problems
+from . import entities, governance, network, problems, records
 
-MODULES = (entities, problems)
+MODULES = (entities, records, governance, network, problems)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 #: The flagship query.
