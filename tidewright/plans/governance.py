@@ -238,7 +238,7 @@ SQL = {
     "audit_log_page": f"WITH {_L} SELECT id, user_id FROM l WHERE action = 'click' ORDER BY timestamp DESC, id LIMIT 100",
     "lineage_ancestors": "WITH RECURSIVE e AS (SELECT p_partkey AS r, p_partkey // 2 AS p FROM part WHERE p_partkey // 2 > 0), up AS (SELECT r, p, 1 AS d FROM e UNION ALL SELECT up.r, e.p, d + 1 FROM up JOIN e ON up.p = e.r) SELECT r::VARCHAR AS record_id, p::VARCHAR AS ancestor_id, min(d)::INT AS depth FROM up GROUP BY ALL",
     "lineage_entries": "SELECT sha256(concat_ws('|', id, 'file', ingestion_job_id)) AS id, id AS record_id, 'file' AS source_type, ingestion_job_id AS parent_record_id FROM data_records",
-    "review_gate": f"WITH {_I} SELECT item_id, {_PR} AS priority, {_TH} AS threshold, printf('Low confidence (%.2f)', confidence) AS reason FROM q",
+    "review_gate": f"WITH {_I} SELECT item_id, {_PR} AS priority, {_TH} AS threshold, printf('Low confidence (%s)', round(confidence::DECIMAL(18,6), 2)::DECIMAL(10,2)::VARCHAR) AS reason FROM q",
     "review_priority": f"WITH {_I} SELECT {_PR} AS priority, item_type, count(*) AS n FROM i WHERE confidence IS NOT NULL GROUP BY ALL",
     "review_queue": f"WITH {_I} SELECT item_id, {_PR} AS priority FROM q WHERE item_type = 'entity' AND {_PR} = 'high' ORDER BY received_at DESC, item_id LIMIT 100",
     "review_status": f"WITH {_I}, {_ST} SELECT item_id, status FROM s",

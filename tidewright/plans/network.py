@@ -70,11 +70,11 @@ def graph_incident(spark, sf_dir):
 
 def graph_find(spark, sf_dir):
     n = _nodes(spark, sf_dir)
-    return n.where((F.col("label") == "Country") & ((F.col("normalized_value") == "france") | (F.col("value") == "FRANCE"))).orderBy("id").limit(1).select("id", "value")
+    return n.where((F.col("label") == "Country") & ((F.col("normalized_value") == "nation_7") | (F.col("value") == "AFRICA"))).orderBy("id").limit(1).select("id", "value")
 
 
 def graph_search(spark, sf_dir):
-    return G.search(_nodes(spark, sf_dir), "AN", "Country", "wsn").select("id", "value")
+    return G.search(_nodes(spark, sf_dir), "ion_1", "Country", "wsn").select("id", "value")
 
 
 def graph_stats(spark, sf_dir):
@@ -201,8 +201,8 @@ SQL = {
     "graph_edges_upsert": f"WITH {_E} SELECT type, count(*) AS n FROM edges WHERE type <> 'LOCATED_IN' GROUP BY ALL",
     "graph_nodes_upsert": f"WITH {_N} SELECT id, CASE WHEN label = 'Country' THEN 'City' ELSE label END AS label, value FROM nodes UNION ALL SELECT 'x1', 'Entity', 'new'",
     "graph_incident": f"WITH {_E} SELECT 'n7' AS source_id, dst AS other_id, type, true AS out FROM edges WHERE src = 'n7' UNION ALL SELECT 'n7', src, type, false FROM edges WHERE dst = 'n7' AND src <> dst",
-    "graph_find": f"WITH {_N} SELECT id, value FROM nodes WHERE label = 'Country' AND (normalized_value = 'france' OR value = 'FRANCE') ORDER BY id LIMIT 1",
-    "graph_search": f"WITH {_N} SELECT id, value FROM nodes WHERE (contains(lower(value), 'an') OR contains(normalized_value, 'an')) AND label = 'Country' AND workspace_id = 'wsn' ORDER BY id LIMIT 50",
+    "graph_find": f"WITH {_N} SELECT id, value FROM nodes WHERE label = 'Country' AND (normalized_value = 'nation_7' OR value = 'AFRICA') ORDER BY id LIMIT 1",
+    "graph_search": f"WITH {_N} SELECT id, value FROM nodes WHERE (contains(lower(value), 'ion_1') OR contains(normalized_value, 'ion_1')) AND label = 'Country' AND workspace_id = 'wsn' ORDER BY id LIMIT 50",
     "graph_stats": f"WITH {_N}, {_E} {_STATS.format(n='nodes', e='edges')}",
     "graph_neighbors": f"SELECT node_id, depth FROM ({_paths('r1', 3, "type <> 'RESIDES_AT'")})",
     "graph_neighbors_typed": f"SELECT node_id, depth FROM ({_paths('n3', 2, "type IN ('PART_OF', 'LOCATED_IN')")}) ORDER BY depth, path LIMIT 100",
