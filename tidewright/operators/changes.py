@@ -23,15 +23,17 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import jsontext as J
 from ..session import scratch
 
 LEDGER = "event string, entity_id string, kind string, ts timestamp_ntz, seq bigint, data string"
 STATE = "entity_id string, field_name string, field_value string"
+FIELDS = T.ArrayType(T.StructType([T.StructField("f", T.StringType()), T.StructField("v", T.StringType())]))
 
 
-@F.pandas_udf("array<struct<f:string,v:string>>")
+@F.pandas_udf(FIELDS)
 def created_fields(data: pd.Series) -> pd.Series:
     """The fields of a created entity that aren't null, values as written."""
 
@@ -42,7 +44,7 @@ def created_fields(data: pd.Series) -> pd.Series:
     return data.map(one)
 
 
-@F.pandas_udf("array<struct<f:string,v:string>>")
+@F.pandas_udf(FIELDS)
 def updated_fields(data: pd.Series) -> pd.Series:
     """The fields an update sets: a value, or ``new`` of an object with ``old`` and ``new``; None clears."""
 

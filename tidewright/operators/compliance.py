@@ -9,6 +9,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Levels of ancestry that lineage follows at most.
 MAX_DEPTH = 64
@@ -24,7 +25,7 @@ def checksum(fields: dict[str, Column]) -> Column:
     return F.sha2(canonical(fields), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_checksum(rows: pd.Series) -> pd.Series:
     """SHA-256 of JSON with sorted keys as Python writes it, of JSON text; for logs that were signed that way."""
     return rows.map(lambda t: None if t is None else hashlib.sha256(json.dumps(json.loads(t), sort_keys=True, default=str).encode()).hexdigest())
