@@ -46,16 +46,30 @@ INDEX = {c: i for i, c in enumerate(CLASSES)}
 K = len(CLASSES)
 
 _RECORD = re.compile(
-    r"""^\s*(?:[>*-]\s+)?(?:
+    r"""\s*(?:[>*-]\s+)?(?:
         \d{4}-\d\d-\d\d[T ]\d\d:\d\d            # a log line
       | \[\d\d?:\d\d(?::\d\d)?\]                # a line of a transcript
-      | [\[\]{}"]                               # a dump of records
-      | [^\n]*(?:[,;|\t][^,;|\t\n]*){2,}[,;|\t]\s*\d{4}-\d\d-\d\d[T ]\d\d:\d\d\s*$   # a row of a table that ends in a time
-    )(?!\(|[^\]\n]*\]\()""",
+      | [\[\]{}"](?!\(|[^\]\n]{0,200}\]\()         # a dump of records, but no link of the form [text](address)
+    )""",
     re.X,
 )
+_TABLE_END = re.compile(r"[,;|\t]\s*\d{4}-\d\d-\d\d[T ]\d\d:\d\d$")
+
+
+def _is_record(line: str) -> bool:
+    """A line of a log, transcript or dump, or a row of a table that ends in a time."""
+    if _RECORD.match(line):
+        return True
+    end = line[-64:].rstrip()
+    return bool(_TABLE_END.search(end)) and sum(map(line.count, ",;|\t")) >= 3
+
+
+def _is_sentence(text: str) -> bool:
+    return bool(_TERMINAL.search(text[-64:].rstrip()))
+
+
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|(?<=[。！？])")
-_TERMINAL = re.compile(r"[.!?。！？…][\"'”»)\]]*\s*$")
+_TERMINAL = re.compile(r"[.!?。！？…][\"'”»)\]]*$")
 _TOKEN = re.compile(
     r"""<[^<>\n]{0,300}>
       | (?:https?|hxxps?)://(?:[^\s<>"')\]|,;\[]|\[\.\])+
@@ -111,14 +125,14 @@ def passages(text: str):
     for line in text.splitlines():
         if not line.strip():
             continue
-        if _RECORD.match(line):
+        if _is_record(line):
             if block:
                 yield "\n".join(block)
                 block = []
             continue
         parts = [p for p in _SENTENCE.split(line) if p and p.strip()]
         for p in parts:
-            if _TERMINAL.search(p):
+            if _is_sentence(p):
                 if block and sum(map(len, block)) > 80:
                     yield "\n".join(block)
                     yield p
@@ -193,7 +207,7 @@ def judge(text: str) -> list[tuple[str, int, bool, bool]]:
         # A sentence between stuffed ones that is made of the words they repeat.
         bad = bad or len(hot) > 0 and words > 1 and sum(n for w, n in seen.items() if w in hot) >= ELSEWHERE * words
         fun = seq.count("f")
-        prose = not bad and len(seq) >= 6 and again <= 0.15 * words and not links and not tags and (fun >= 0.2 * (words + fun) or "C" in seq and words < 4) and bool(_TERMINAL.search(p))
+        prose = not bad and len(seq) >= 6 and again <= 0.15 * words and not links and not tags and (fun >= 0.2 * (words + fun) or "C" in seq and words < 4) and _is_sentence(p)
         out.append((seq, size, bad, prose))
     return out
 
