@@ -116,8 +116,9 @@ def _fold_one(ch: str) -> int:
 
 # ---- named fields -------------------------------------------------------
 
-_QUOTED = re.compile(r"""([^\s="',;{}|&]+)\s*=\s*("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')""")
-_COLON_QUOTED = re.compile(r"""["']?([\w][\w .\-]*?)["']?\s*:\s*("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^,'"{}\n]+)\s*(?:,|\}|$)""")
+# Names begin at a boundary and are of bounded length, so a long text is scanned once.
+_QUOTED = re.compile(r"""(?<![^\s="',;{}|&])([^\s="',;{}|&]{1,200})\s{0,20}=\s{0,20}("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')""")
+_COLON_QUOTED = re.compile(r"""["']?(?<!\w)(\w[\w .\-]{0,200}?)["']?\s{0,20}:\s{0,20}("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^,'"{}\n]+)\s{0,20}(?:,|\}|$)""")
 
 
 def _unquote(v: str) -> str:
