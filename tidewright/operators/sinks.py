@@ -15,10 +15,12 @@ def load_records(records: DataFrame, path: str, *by: str) -> None:
     records.write.mode("append").partitionBy(*by).parquet(path)
 
 
-def export_rows(df: DataFrame, data: str = "data", key: str = "id", cap: int | None = R.EXPORT_CAP) -> DataFrame:
-    """The rows of an export: newest first, then by key, capped as the interface is (None: all)."""
-    rows = df.orderBy(F.col("created_at").desc_nulls_first() if "created_at" in df.columns else F.lit(0), key)
-    return rows if cap is None else rows.limit(cap)
+def export_rows(df: DataFrame, key: str = "id", cap: int | None = R.EXPORT_CAP) -> DataFrame:
+    """The rows of an export: the newest ``cap`` rows, then by key, as the interface is; all rows unordered with None."""
+    if cap is None:
+        return df
+    order = [F.col("created_at").desc_nulls_first()] if "created_at" in df.columns else []
+    return df.orderBy(*order, key).limit(cap)
 
 
 def export_columns(df: DataFrame, data: str = "data") -> list[str]:
@@ -35,7 +37,7 @@ def flat(df: DataFrame, data: str = "data") -> DataFrame:
 
 def export(df: DataFrame, path: str, kind: str, data: str = "data") -> None:
     """Write an export: json (lines), csv, parquet as folders, excel as one file of a capped, collected frame."""
-    rows = export_rows(df, data, cap=R.EXPORT_CAP if kind == "excel" else None)
+    rows = export_rows(df, cap=R.EXPORT_CAP if kind == "excel" else None)
     if kind == "json":
         rows.select(data).write.mode("overwrite").text(path)
     elif kind == "csv":
