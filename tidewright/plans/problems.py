@@ -77,7 +77,16 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p4_unified": p4_unified, "p5_found": p5_found, "p5_profile": p5_profile, "p2_found": p2_found, "p3_found": p3_found, "p3_objects": p3_objects, "p3_bridge": p3_bridge, "p6_found": p6_found}
 
+_P2_VALUE = "CASE WHEN json_type(j) = 'OBJECT' AND json_exists(j, '$.old') AND json_exists(j, '$.new') THEN j->>'$.new' ELSE j->>'$' END"
 SQL = {
+    "p2_found": f"""
+        WITH ev AS (SELECT min(feed_seq) AS seq, arg_min(entity_id, feed_seq) AS entity_id, arg_min(split_part(event_type, '.', 2), feed_seq) AS kind, arg_min(timestamp, feed_seq) AS ts, arg_min_null(entity_data, feed_seq) AS made, arg_min_null(changes, feed_seq) AS changes
+            FROM entity_changes WHERE entity_id IS NOT NULL AND timestamp IS NOT NULL GROUP BY coalesce(nullif(lower(trim(event_id)), ''), '#' || feed_seq)),
+        b AS (SELECT entity_id, arg_max(kind, (ts, seq)) AS kind, arg_max_null(made, (ts, seq)) AS data, max((ts, seq)) AS o FROM ev WHERE kind IN ('created', 'deleted') GROUP BY entity_id),
+        m AS (SELECT entity_id, k, json_extract(data, '$."' || k || '"')->>'$' AS v FROM (SELECT entity_id, data, unnest(json_keys(data)) AS k FROM b WHERE kind = 'created' AND json_valid(data))),
+        u AS (SELECT entity_id, k, {_P2_VALUE} AS v, ts, seq FROM (SELECT entity_id, ts, seq, k, json_extract(changes, '$."' || k || '"') AS j FROM (SELECT *, unnest(json_keys(changes)) AS k FROM ev WHERE kind = 'updated' AND json_valid(changes)))),
+        l AS (SELECT u.entity_id, k, arg_max_null(v, (ts, seq)) AS v FROM u JOIN b ON u.entity_id = b.entity_id AND b.kind = 'created' AND (ts, seq) > b.o GROUP BY ALL)
+        SELECT entity_id, k AS field_name, v AS field_value FROM (SELECT coalesce(m.entity_id, l.entity_id) AS entity_id, coalesce(m.k, l.k) AS k, CASE WHEN l.k IS NOT NULL THEN l.v ELSE m.v END AS v FROM m FULL JOIN l ON m.entity_id = l.entity_id AND m.k = l.k) WHERE v IS NOT NULL""",
     "p6_found": r"""
         WITH a AS (SELECT delivery_id AS d, trim(event_id) AS t, regexp_replace(regexp_replace(lower(event_id), '^[^0-9a-z]*(urn[^0-9a-z]*)?(uuid[^0-9a-z]*)?', ''), '[^\p{L}\p{N}]', '', 'g') AS h FROM event_messages),
         b AS (SELECT d, CASE WHEN regexp_full_match(h, '[0-9a-f]{32}') THEN h WHEN t <> '' THEN '=' || t END AS k FROM a),
