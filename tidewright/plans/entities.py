@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import entity as E
 from ..operators import entities as X
-from ..session import prepare, table
+from ..session import prepare, spread, table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(prepare(spark), sf_dir, "documents").select("doc_id", "text", "url", "lang", "source", "fetched_at")
+    return spread(table(prepare(spark), sf_dir, "documents").select("doc_id", "text", "url", "lang", "source", "fetched_at"))
 
 
 def _found(spark, sf_dir):
@@ -107,13 +107,13 @@ def extract_username(spark, sf_dir):
 
 def record_walk(spark, sf_dir):
     """Every string of every record with the path of its key, counted by path form."""
-    r = X.walk_strings(table(prepare(spark), sf_dir, "data_records").select("id", "data"), "data", "id")
+    r = X.walk_strings(spread(table(prepare(spark), sf_dir, "data_records").select("id", "data")), "data", "id")
     return r.groupBy(F.regexp_replace("path", r"\[\d+\]", "[]").alias("path")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("records"))
 
 
 def record_entities(spark, sf_dir):
     """Entities in all strings of all records, by type: mentions and distinct normal forms."""
-    r = X.extract_from_records(table(prepare(spark), sf_dir, "data_records").select("id", "data"), "data", "id", label="ingestion:")
+    r = X.extract_from_records(spread(table(prepare(spark), sf_dir, "data_records").select("id", "data")), "data", "id", label="ingestion:")
     return r.groupBy("entity_type").agg(F.count("*").alias("n"), F.count_distinct("normalized_value").alias("entities"))
 
 

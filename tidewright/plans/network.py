@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import entities as X
 from ..operators import graph as G
 from ..operators import vectors as V
-from ..session import prepare, table
+from ..session import prepare, spread, table
 from .entities import _FOUND
 
 
@@ -38,7 +38,7 @@ def graph_export_nodes(spark, sf_dir):
 
 def _doc_entities(spark, sf_dir):
     """Entities of the documents, each with its first document."""
-    e = X.extract(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"), "text", "doc_id").where("entity_type in ('email', 'ip_address', 'social_handle')")
+    e = X.extract(spread(table(prepare(spark), sf_dir, "documents").select("doc_id", "text")), "text", "doc_id").where("entity_type in ('email', 'ip_address', 'social_handle')")
     e = e.withColumn("source_record_id", F.col("doc_id"))
     return X.deduplicate(e, F.struct("doc_id", "seq", "value")).select(F.concat_ws(":", "entity_type", "normalized_value").alias("id"), "source_record_id")
 

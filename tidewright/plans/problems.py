@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes, drift, messages, nested, profile
-from ..session import prepare, table
+from ..session import prepare, spread, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flattened child objects: (record_id, parent_path, child_path, lat)."""
-    return nested.occurrences(table(prepare(spark), sf_dir, "data_records")).select("record_id", "parent_path", "child_path", "lat")
+    return nested.occurrences(spread(table(prepare(spark), sf_dir, "data_records").select("id", "data"))).select("record_id", "parent_path", "child_path", "lat")
 
 
 def p3_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _loads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "data_records").select("id", F.col("ingestion_job_id").alias("job"), "schema_id", "data")
+    return spread(table(spark, sf_dir, "data_records").select("id", F.col("ingestion_job_id").alias("job"), "schema_id", "data"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = table(spark, sf_dir, "basecamp_schemas").where(F.col("name").isin(*FLAT)).select(F.col("id").alias("schema_id"), F.col("name").alias("scope"))
     ids = [r[0] for r in flat.select("schema_id").distinct().collect()]
     records = table(spark, sf_dir, "data_records").where(F.col("schema_id").isin(ids) & F.col("data").isNotNull())
-    records = records.select("id", F.col("ingestion_job_id").alias("job"), "data", "schema_id").join(F.broadcast(flat), "schema_id").select("scope", "job", "id", "data")
+    records = spread(records.select("id", F.col("ingestion_job_id").alias("job"), "data", "schema_id")).join(F.broadcast(flat), "schema_id").select("scope", "job", "id", "data")
     names = table(spark, sf_dir, "ingestion_jobs").where(F.col("schema_id").isin(ids)).select("id", "file_name", "schema_id").join(F.broadcast(flat), "schema_id")
     names = profile.malformed_names(names).select("job_id", F.lit("").alias("record_id"), F.lit("file_name").alias("field_name"))
     return profile.find_violations(records).unionByName(names)

@@ -81,3 +81,13 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan, dealt to all cores if it has fewer splits than half of them.
+
+    For costly work per row over few small files; a table of many splits stays
+    as it is read, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
