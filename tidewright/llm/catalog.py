@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare, table
+from ..session import prepare, spread, table
 from . import bytebpe, formatting, packing, spam
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "entity_requests").select(F.col("request_id").alias("id"), F.col("entity_type").alias("kind"), "value")
     b = table(spark, sf_dir, "entity_payloads").select(F.col("payload_id").alias("id"), F.col("type").alias("kind"), "value")
-    return a.unionByName(b)
+    return spread(a).unionByName(spread(b))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,17 +31,17 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document: (doc_id, ids)."""
-    return bytebpe.encode(table(prepare(spark), sf_dir, "documents"))
+    return bytebpe.encode(_documents(spark, sf_dir))
 
 
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in containers of every capacity: (pack_name, container_id, doc_id, part, start_token, n_tokens)."""
-    return packing.pack_texts(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+    return packing.pack_texts(_documents(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages made for attention: (doc_id)."""
-    return spam.spam_pages(table(prepare(spark), sf_dir, "documents"))
+    return spam.spam_pages(_documents(spark, sf_dir))
 
 
 QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
