@@ -18,7 +18,7 @@ def test_ingest_is_idempotent(spark):
     b = pipeline.ingest(df, a.entities)
     assert sorted(map(str, b.entities.collect())) == sorted(map(str, a.entities.collect()))
     n = a.entities.count()
-    assert a.nodes.count() == n == a.vectors.count() and a.review.count() == 0 and a.events.first().subject == "basecamp.ingestion.complete"
+    assert a.nodes.count() == n == a.vectors.count() and a.review.count() == 0 and a.events.first().subject == "events.ingestion.complete"
     assert a.edges.count() >= 3
     e = pipeline.ingest(df.limit(0))
     assert e.entities.count() == 0 and e.edges.count() == 0

@@ -215,7 +215,7 @@ def test_requests(spark):
 
 def test_subjects(spark):
     m = lambda p, s: one(spark, events.subject_matches(F.lit(s), p))[0]
-    assert m("basecamp.entity.*", "basecamp.entity.created") and not m("basecamp.entity.*", "basecamp.ingestion.failed") and m("basecamp.>", "basecamp.a.b") and not m("basecamp.*", "basecamp.a.b")
+    assert m("events.entity.*", "events.entity.created") and not m("events.entity.*", "events.ingestion.failed") and m("events.>", "events.a.b") and not m("events.*", "events.a.b")
     with pytest.raises(ValueError):
         events.event("entity.deleted", F.lit("1"), F.current_timestamp(), F.lit("s"), nope=F.lit(1))
 
@@ -243,7 +243,7 @@ def test_fan_out(spark, tmp_path):
     src = str(tmp_path / "src")
     events.publish(spark.range(3).select(*events.event("entity.deleted", F.col("id").cast("string"), F.lit(dt.datetime(2025, 1, 1)), F.lit("s"))), src)
     got = []
-    hooks = events.fan_out(events.subscribe(spark, src), {"e": ("basecamp.entity.*", lambda b, i: got.append(b.count())), "c": ("basecamp.connector.*", lambda b, i: got.append(-b.count()))}, str(tmp_path / "cp"))
+    hooks = events.fan_out(events.subscribe(spark, src), {"e": ("events.entity.*", lambda b, i: got.append(b.count())), "c": ("events.connector.*", lambda b, i: got.append(-b.count()))}, str(tmp_path / "cp"))
     for q in hooks.values():
         q.awaitTermination()
     assert sum(got) == 3

@@ -1,6 +1,6 @@
 """General relational and event-time queries over the driver's star schema.
 
-Not capabilities of the reference; kept apart as the engine's own extensions.
+Kept apart as the engine's own extensions.
 """
 
 from __future__ import annotations

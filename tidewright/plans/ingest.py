@@ -237,7 +237,7 @@ def stream_event_dedup(spark, sf_dir):
 def stream_subject_counts(spark, sf_dir):
     """Messages of one family, counted per day in a stream that is flushed by a last event."""
     path, out = _published(spark, sf_dir), scratch(spark, "out")
-    s = V.subscribe(spark, path, "basecamp.entity.*").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    s = V.subscribe(spark, path, "events.entity.*").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
 
     def keep(batch, _):
         batch.write.mode("overwrite").parquet(out)
@@ -269,7 +269,7 @@ def event_build(spark, sf_dir):
     """Typed events for completed ingests, by subject."""
     j = table(prepare(spark), sf_dir, "ingestion_jobs").where("state = 'complete'")
     e = j.select(*V.event("ingestion.complete", F.sha2("id", 256), F.coalesce("completed_at", "created_at"), F.lit("engine"), file_id=F.col("id"), file_name=F.col("file_name"), record_count=F.col("record_count")))
-    return e.groupBy("subject").agg(F.count("*").alias("n"), F.count_if(V.subject_matches(F.col("subject"), "basecamp.ingestion.*")).alias("matching"))
+    return e.groupBy("subject").agg(F.count("*").alias("n"), F.count_if(V.subject_matches(F.col("subject"), "events.ingestion.*")).alias("matching"))
 
 
 QUERIES = {
@@ -313,5 +313,5 @@ SQL = {
     "stream_subject_counts": f"WITH {_MSG} SELECT date_trunc('day', timestamp)::TIMESTAMP AS start, event_type, count(*) AS n FROM m WHERE event_type LIKE 'entity.%' GROUP BY ALL",
     "stream_ingest": f"WITH {_MSG} SELECT event_type, count(*) AS n FROM m WHERE json_valid(payload) GROUP BY ALL",
     "event_retention": "SELECT count(*) AS n, min(delivery_id) AS first FROM (SELECT delivery_id FROM event_messages WHERE timestamp >= (SELECT max(timestamp) FROM event_messages) - INTERVAL 7 DAYS ORDER BY timestamp DESC, delivery_id LIMIT 100000)",
-    "event_build": "SELECT 'basecamp.ingestion.complete' AS subject, count(*) AS n, count(*) AS matching FROM ingestion_jobs WHERE state = 'complete'",
+    "event_build": "SELECT 'events.ingestion.complete' AS subject, count(*) AS n, count(*) AS matching FROM ingestion_jobs WHERE state = 'complete'",
 }

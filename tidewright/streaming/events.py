@@ -21,14 +21,15 @@ EVENT_FIELDS = {
     "connector.error": ("connector_type", "query", "error_message", "is_rate_limited"),
 }
 FAMILIES = ("ingestion", "enrichment", "entity", "connector")
-PREFIX = "basecamp"
+PREFIX = "events"
 MAX_MESSAGES, MAX_BYTES, MAX_AGE_DAYS = 100_000, 512 * 2**20, 7
 
 ENVELOPE = T.StructType([T.StructField(n, T.StringType()) for n in ("event_id", "event_type", "subject")] + [T.StructField("timestamp", T.TimestampNTZType())] + [T.StructField(n, T.StringType()) for n in ("source", "correlation_id", "metadata", "payload")])
 
 
-def subject(event_type: Column) -> Column:
-    return F.concat(F.lit(PREFIX + "."), event_type)
+def subject(event_type: Column, prefix: str = PREFIX) -> Column:
+    """Subject of an event type; a deployment's own prefix can be given."""
+    return F.concat(F.lit(prefix + "."), event_type)
 
 
 def subject_matches(col: Column, pattern: str) -> Column:
