@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,12 +27,23 @@ def embedding_text(entity_type: Column, value: Column, tags: Column | None = Non
 
 def hash_embedding(text: Column, size: int = SIZE) -> Column:
     """Unit vector from SHA-256 of the lower-case text and a block number; null stays null."""
-    low = F.lower(text)
-    blocks = F.transform(F.sequence(F.lit(0), F.lit((size - 1) // 32)), lambda i: F.sha2(F.concat(low, i.cast("string")), 256))
-    raw = F.flatten(F.transform(blocks, lambda h: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.conv(F.substring(h, j * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1.0)))
-    v = F.slice(raw, 1, size)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(text.isNotNull(), F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x)))
+    return _embed(size)(F.lower(text))
+
+
+def _embed(size: int):
+    """The vectors of a batch at once; as one expression every component would compute all components again."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [t.encode() for t in texts.to_pylist() if t is not None]
+        blocks = [str(i).encode() for i in range((size - 1) // 32 + 1)]
+        raw = b"".join(hashlib.sha256(t + i).digest() for t in rows for i in blocks)
+        v = np.frombuffer(raw, np.uint8).reshape(len(rows), 32 * len(blocks))[:, :size] / 127.5 - 1.0
+        norm = np.sqrt(np.cumsum(v * v, axis=1)[:, -1:])
+        v = np.divide(v, norm, out=v, where=norm > 0)
+        ends = np.concatenate([[0], np.cumsum(~texts.is_null().to_numpy(zero_copy_only=False))]) * size
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v.ravel()), mask=texts.is_null())
+
+    return F.arrow_udf(run, "array<double>")
 
 
 def point_id(entity_id: Column) -> Column:

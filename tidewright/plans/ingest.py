@@ -7,10 +7,11 @@ import json
 from pyspark.sql import functions as F
 
 from ..operators import entities as X
+from ..operators import pipeline as I
 from ..operators import records as R
 from ..operators import schema as S
 from ..operators import sinks as K
-from ..session import prepare, scratch, table
+from ..session import prepare, scratch, spread, table
 from ..sources import connectors as N
 from ..sources import files as P
 from ..streaming import events as V
@@ -207,7 +208,7 @@ def connector_accounts(spark, sf_dir):
 
 
 def pipeline_records(spark, sf_dir):
-    """Uploads to entities: parse, extract, deduplicate, enrich, by type and level."""
+    """A two-line upload to entities: parse, extract, deduplicate, enrich; all records go through ``pipeline_ingest``."""
     prepare(spark)
     up = {"m.jsonl": b'{"note":"Mail Bob@ProtonMail.com from 10.0.0.12"}\n{"note":"see https://www.web.com/a/ @Amy","deep":{"l":["bob@protonmail.com"]}}\n'}
     records, _, _ = P.split_parsed(P.parse_files(spark, _write(spark, up)))
@@ -216,6 +217,22 @@ def pipeline_records(spark, sf_dir):
     return d.select("entity_type", "normalized_value", "threat_level", "n_mentions")
 
 
+def _part(df, part, kind):
+    """(part, kind, n, digest): rows of a frame by kind, and a digest that reads every column of every row."""
+    flat = [F.to_json(c) if t.startswith("map") else F.col(c) for c, t in df.dtypes]
+    return df.groupBy(kind.cast("string").alias("kind")).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*flat)).alias("digest")).select(F.lit(part).alias("part"), "kind", "n", "digest")
+
+
+def pipeline_ingest(spark, sf_dir):
+    """The whole pipeline over all records: (part, kind, n, digest) of its entities, nodes, edges, vectors, review and events."""
+    got = I.ingest(spread(table(prepare(spark), sf_dir, "data_records").select("id", "workspace_id", "data", "created_at")))
+    parts = [(got.entities, "entities", "entity_type"), (got.nodes, "nodes", "label"), (got.edges, "edges", "type"), (got.vectors, "vectors", "entity_type"), (got.review, "review", "item_type"), (got.events, "events", "subject")]
+    out = [_part(df, name, F.col(kind)) for df, name, kind in parts]
+    for df in out[1:]:
+        out[0] = out[0].unionByName(df)
+    return out[0]
+
+
 # ---- streams ---------------------------------------------------------------------
 
 
@@ -275,7 +292,7 @@ def event_build(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (schema_profile, schema_profile_records, schema_confidence, schema_merge, schema_latest_version, schema_create, schema_update, detect_types, validate_records, coerce_records, transform_rules,
-              export_csv, export_parquet, load_lake, job_ledger, parse_uploads, upload_jobs, connector_union, connector_hosts, connector_recon, connector_accounts, pipeline_records,
+              export_csv, export_parquet, load_lake, job_ledger, parse_uploads, upload_jobs, connector_union, connector_hosts, connector_recon, connector_accounts, pipeline_records, pipeline_ingest,
               stream_event_dedup, stream_subject_counts, stream_ingest, event_retention, event_build)
 }
 
