@@ -5,6 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tidewright.operators import entities as X
+from tidewright.operators import graph as G
 from tidewright.plans import catalog
 from tidewright.session import table
 
@@ -26,3 +27,27 @@ def test_pipeline_runs_over_all_records(spark):
     assert n["entities"] == n["nodes"] == n["vectors"] == len(first) > 100
     assert n["edges"] == sum(m * (m - 1) // 2 for m in own.values()) > 0 and n["review"] == 0
     assert {(r.kind, r.n) for r in got if r.part == "events"} == {("events.ingestion.complete", 1)}
+
+
+def test_graph_has_every_type(spark):
+    docs = table(spark, SF, "documents")
+    found = X.extract(docs, "text", "doc_id").select("entity_type", "normalized_value", "doc_id").collect()
+    first = {}
+    for t, v, d in found:
+        k = f"{t}:{v}"
+        first[k] = min(first.get(k, d), d)
+    star = catalog.QUERIES["graph_document_star"](spark, SF).collect()
+    assert {(r.src, r.dst) for r in star} == set(first.items()) and len(star) == len(first)
+    kinds = {k.split(":")[0] for k in first}
+    assert kinds > {"email", "ip_address", "social_handle"}
+    size = Counter(first.values())
+    edges = catalog.QUERIES["graph_document_edges"](spark, SF)
+    assert edges.count() == sum(n if n >= G.MANY else n * (n - 1) // 2 for n in size.values())
+    assert {r.id for r in catalog.QUERIES["entity_embeddings"](spark, SF).select("id").collect()} == set(first)
+
+
+def test_star_stands_for_many_pairs(spark):
+    e = spark.createDataFrame([("r1", f"e{i}") for i in range(5)] + [("r2", "x"), ("r2", "y")], "source_record_id string, id string")
+    got = G.linked(e, many=5).collect()
+    assert sorted((r.src, r.dst, r.type) for r in got) == [(f"e{i}", "r1", "EXTRACTED_FROM") for i in range(5)] + [("x", "y", "ASSOCIATED_WITH")]
+    assert G.linked(e, many=6).count() == 11

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Node labels and relationship types. (fixed values)
 LABELS = (
     "Person Organization Email Domain IPAddress Phone URL Username SocialMedia Cryptocurrency Address Country City Hash File Malware CVE BankAccount CreditCard Document Credential ThreatActor Campaign Indicator Entity"
@@ -78,6 +80,24 @@ def star(entities: DataFrame, record: str = "source_record_id", entity_id: str =
     return entities.where(F.col(record).isNotNull()).select(F.col(entity_id).alias("src"), F.col(record).alias("dst"), F.lit("EXTRACTED_FROM").alias("type")).distinct()
 
 
+#: Entities of one record from which on the star stands for its pairs.
+MANY = 256
+
+
+def linked(entities: DataFrame, record: str = "source_record_id", entity_id: str = "id", many: int = MANY) -> DataFrame:
+    """(src, dst, type, source_record_id): pairs of the entities of a record, and stars for records of ``many`` entities or more.
+
+    No record is left out and the edges grow in proportion to the entities: at
+    most ``many`` / 2 an entity.  The sizes come from one more aggregate.
+    """
+    e = entities.where(F.col(record).isNotNull()).select(F.col(record).alias(record), F.col(entity_id).alias(entity_id)).distinct()
+    e = materialize(e, "linked")
+    large = e.groupBy(record).agg(F.count("*").alias("n")).where(F.col("n") >= many).select(record)
+    pairs = cooccurrence(e.join(large, record, "left_anti"), record, entity_id)
+    stars = star(e.join(large, record, "left_semi"), record, entity_id)
+    return pairs.select(F.col("src"), F.col("dst").cast("string").alias("dst"), "type", F.col("source_record_id").cast("string").alias("source_record_id")).unionByName(stars.select("src", F.col("dst").cast("string").alias("dst"), "type", F.col("dst").cast("string").alias("source_record_id")))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """(eid, a, b, type, out): every edge from either end; eid names the edge."""
     e = edges.withColumn("eid", F.concat_ws("|", "src", "type", "dst"))

@@ -36,8 +36,14 @@ def graph_export_nodes(spark, sf_dir):
     return n.select("id", "label", "value", "workspace_id", F.col("properties")["meta_kind"].alias("meta_kind"), F.size("properties").cast("bigint").alias("n_properties"))
 
 
+def _all_entities(spark, sf_dir):
+    """(id, source_record_id, entity_type, value): entities of every type, each with its first document."""
+    e = X.extract(spread(table(prepare(spark), sf_dir, "documents").select("doc_id", "text")), "text", "doc_id").withColumn("source_record_id", F.col("doc_id"))
+    return X.deduplicate(e, F.struct("doc_id", "seq", "value")).select(F.concat_ws(":", "entity_type", "normalized_value").alias("id"), "source_record_id", "entity_type", "value")
+
+
 def _doc_entities(spark, sf_dir):
-    """Entities of the documents, each with its first document."""
+    """E-mail, address and handle entities of the documents, each with its first document; ``_all_entities`` has every type."""
     e = X.extract(spread(table(prepare(spark), sf_dir, "documents").select("doc_id", "text")), "text", "doc_id").where("entity_type in ('email', 'ip_address', 'social_handle')")
     e = e.withColumn("source_record_id", F.col("doc_id"))
     return X.deduplicate(e, F.struct("doc_id", "seq", "value")).select(F.concat_ws(":", "entity_type", "normalized_value").alias("id"), "source_record_id")
@@ -51,6 +57,16 @@ def graph_star_edges(spark, sf_dir):
     return G.star(_doc_entities(spark, sf_dir))
 
 
+def graph_document_edges(spark, sf_dir):
+    """Edges between the entities of every type: pairs of a document, the star form where it names very many."""
+    return G.linked(_all_entities(spark, sf_dir))
+
+
+def graph_document_star(spark, sf_dir):
+    """Edges from the entities of every type to their first document."""
+    return G.star(_all_entities(spark, sf_dir))
+
+
 def graph_edges_upsert(spark, sf_dir):
     """New edges, some repeated and some without an end, merged into the graph."""
     e = _edges(spark, sf_dir)
@@ -160,6 +176,12 @@ def hash_embedding(spark, sf_dir):
     return n.select("n_nationkey", *[F.round(F.get("v", F.lit(i)), 6).alias(f"c{i}") for i in (0, 31, 32, 383)], F.size("v").cast("bigint").alias("size"))
 
 
+def entity_embeddings(spark, sf_dir):
+    """Embeddings of the entities of every type: four components and the length."""
+    e = _all_entities(spark, sf_dir).select("id", V.hash_embedding(V.embedding_text(F.col("entity_type"), F.col("value"))).alias("v"))
+    return e.select("id", *[F.round(F.get("v", F.lit(i)), 6).alias(f"c{i}") for i in (0, 31, 32, 383)], F.size("v").cast("bigint").alias("size"))
+
+
 def vector_point_ids(spark, sf_dir):
     return table(prepare(spark), sf_dir, "entity_payloads").select("payload_id", V.point_id(F.col("id")).alias("point_id"))
 
@@ -171,8 +193,8 @@ def embedding_texts(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (graph_label_map, graph_export_nodes, graph_cooccurrence_edges, graph_star_edges, graph_edges_upsert, graph_nodes_upsert, graph_incident, graph_find, graph_search, graph_stats, graph_neighbors, graph_neighbors_typed, graph_delete, graph_clear_workspace, graph_constraints, graph_unique, graph_sql, graph_schema,
-              vector_topk, vector_topk_filtered, vector_search, vector_stats, vector_upsert, hash_embedding, vector_point_ids, embedding_texts)
+    for f in (graph_label_map, graph_export_nodes, graph_cooccurrence_edges, graph_star_edges, graph_document_edges, graph_document_star, graph_edges_upsert, graph_nodes_upsert, graph_incident, graph_find, graph_search, graph_stats, graph_neighbors, graph_neighbors_typed, graph_delete, graph_clear_workspace, graph_constraints, graph_unique, graph_sql, graph_schema,
+              vector_topk, vector_topk_filtered, vector_search, vector_stats, vector_upsert, hash_embedding, entity_embeddings, vector_point_ids, embedding_texts)
 }
 
 # ---- SQL ------------------------------------------------------------------
