@@ -51,3 +51,14 @@ def test_star_stands_for_many_pairs(spark):
     got = G.linked(e, many=5).collect()
     assert sorted((r.src, r.dst, r.type) for r in got) == [(f"e{i}", "r1", "EXTRACTED_FROM") for i in range(5)] + [("x", "y", "ASSOCIATED_WITH")]
     assert G.linked(e, many=6).count() == 11
+
+
+def test_profile_has_every_column_and_its_range(spark):
+    got = {(r.table_name, r.column_name): r for r in catalog.QUERIES["p5_profile"](spark, SF).collect()}
+    for name in ("ingestion_jobs", "data_records"):
+        df = table(spark, SF, name)
+        assert {c for t, c in got if t == name} == set(df.columns)
+        for c in df.columns:
+            want = df.agg(F.count("*"), F.count_if(F.col(c).isNull()), F.countDistinct(c), F.min(c).cast("string"), F.max(c).cast("string")).first()
+            r = got[name, c]
+            assert (r.n_rows, r.n_nulls, r.distinct_values, r.min_value, r.max_value) == tuple(want), (name, c)

@@ -66,7 +66,7 @@ def footer_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     insufficient and is scanned.  An empty table has rows of zeros or none.
     """
     spark = df.sparkSession
-    want = columns or [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "int", "bigint", "double", "float", "boolean", "timestamp_ntz", "timestamp", "date")]
+    want = columns or [f.name for f in df.schema.fields if f.dataType.simpleString() in PROFILED]
     files = spark.createDataFrame([(f,) for f in df.inputFiles()], "file string")
     files = files.repartition(max(1, min(len(df.inputFiles()), 10_000)), "file")
 
@@ -116,24 +116,34 @@ def footer_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return files.mapInArrow(run, FOOTER)
 
 
+#: Types that :func:`footer_profile` has figures for.
+PROFILED = ("string", "int", "bigint", "double", "float", "boolean", "timestamp_ntz", "timestamp", "date")
+
+
 def column_profile(df: DataFrame, table: str) -> DataFrame:
-    """(table_name, column_name, n_rows, n_nulls, distinct_values) of the string columns: nulls from the footers.
+    """(table_name, column_name, column_type, n_rows, n_nulls, distinct_values, min_value, max_value) of every column of a type in ``PROFILED``.
 
-    ``distinct_values`` counts distinct values: from dictionaries where every
-    chunk has one of at most a thousand entries, from a scan of the column otherwise.
+    Nulls and extrema come from the footers; extrema are compared in the
+    column's own type and written as its text.  ``distinct_values`` counts
+    distinct values: from dictionaries where every chunk has one of at most a
+    thousand entries, from a scan of the column otherwise.
     """
-    cols = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    chunks = materialize(footer_profile(df, cols), "footers")
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.dataType.simpleString() in PROFILED}
+    chunks = materialize(footer_profile(df, list(types)), "footers")
     base = chunks.groupBy("column").agg(F.sum("rows").alias("n_rows"), F.sum("nulls").alias("n_nulls"), F.count_if(F.col("distinct").isNull() & (F.col("nulls") < F.col("rows"))).alias("open"))
+    ends = [chunks.where(F.col("column").isin([c for c in types if types[c] == t])).groupBy("column").agg(F.lit(t).alias("column_type"), F.min(F.col("lo").cast(t)).cast("string").alias("min_value"), F.max(F.col("hi").cast(t)).cast("string").alias("max_value")) for t in dict.fromkeys(types.values())]
+    for e in ends[1:]:
+        ends[0] = ends[0].unionByName(e)
     coded = chunks.where("distinct is not null").select("column", F.explode("distinct").alias("v")).distinct().groupBy("column").agg(F.count("*").alias("d"))
-    out = base.join(coded, "column", "left")
+    out = base.join(ends[0], "column").join(coded, "column", "left")
     need = [r[0] for r in base.where("open > 0").select("column").collect()]  # column names of one table
     if need:
-        scan = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in need])).alias("x")).select("x.*").where("v is not null")
+        text = lambda c: (F.col(c) + 0.0 if types[c] in ("double", "float") else F.col(c)).cast("string")  # noqa: E731  # -0.0 is 0.0
+        scan = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("v")) for c in need])).alias("x")).select("x.*").where("v is not null")
         out = out.join(scan.distinct().groupBy("column").agg(F.count("*").alias("s")), "column", "left")
     else:
         out = out.withColumn("s", F.lit(None).cast("bigint"))
-    return out.select(F.lit(table).alias("table_name"), F.col("column").alias("column_name"), "n_rows", "n_nulls", F.coalesce("s", "d", F.lit(0)).alias("distinct_values"))
+    return out.select(F.lit(table).alias("table_name"), F.col("column").alias("column_name"), "column_type", "n_rows", "n_nulls", F.coalesce("s", "d", F.lit(0)).alias("distinct_values"), "min_value", "max_value")
 
 
 # ---- what a field is like ------------------------------------------------------

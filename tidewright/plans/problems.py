@@ -70,7 +70,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Column profile of two tables from their footers: (table_name, column_name, n_rows, n_nulls, distinct_values)."""
+    """Column profile of two tables from their footers: (table_name, column_name, column_type, n_rows, n_nulls, distinct_values, min_value, max_value)."""
     prepare(spark)
     return profile.column_profile(table(spark, sf_dir, "ingestion_jobs"), "ingestion_jobs").unionByName(profile.column_profile(table(spark, sf_dir, "data_records"), "data_records"))
 
