@@ -62,3 +62,12 @@ def test_profile_has_every_column_and_its_range(spark):
             want = df.agg(F.count("*"), F.count_if(F.col(c).isNull()), F.countDistinct(c), F.min(c).cast("string"), F.max(c).cast("string")).first()
             r = got[name, c]
             assert (r.n_rows, r.n_nulls, r.distinct_values, r.min_value, r.max_value) == tuple(want), (name, c)
+
+
+def test_streams_have_messages_without_id(spark, rows):
+    m = table(spark, SF, "event_messages")
+    assert m.where("event_id is null or trim(event_id) = ''").count() > 0
+    want = m.where("event_type like 'entity.%'").groupBy(F.date_trunc("day", "timestamp").cast("timestamp_ntz").alias("start"), "event_type").agg(F.count("*").alias("n"))
+    assert rows(catalog.QUERIES["stream_subject_counts_whole"](spark, SF)) == rows(want)
+    want = m.where("try_parse_json(payload) is not null").groupBy("event_type").agg(F.count("*").alias("n"))
+    assert rows(catalog.QUERIES["stream_ingest_whole"](spark, SF)) == rows(want)

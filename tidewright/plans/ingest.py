@@ -236,24 +236,27 @@ def pipeline_ingest(spark, sf_dir):
 # ---- streams ---------------------------------------------------------------------
 
 
-def _published(spark, sf_dir):
-    """The messages of the table as a stream's folder of a few files."""
-    m = table(prepare(spark), sf_dir, "event_messages").where("event_id is not null and trim(event_id) <> ''")
+def _published(spark, sf_dir, whole=False):
+    """The messages of the table as a stream's folder of a few files: those with an id or, ``whole``, all.
+
+    A message without id has no copies; of ``whole`` it gets an id of its own from its delivery.
+    """
+    m, own = table(prepare(spark), sf_dir, "event_messages"), F.lower(F.trim("event_id"))
+    m = m.withColumn("event_id", F.coalesce(F.nullif(own, F.lit("")), F.concat(F.lit("delivery-"), F.col("delivery_id").cast("string"))) if whole else own).where("event_id <> ''")
     path = scratch(spark, "events")
-    V.publish(m.select(F.lower(F.trim("event_id")).alias("event_id"), "event_type", V.subject(F.col("event_type")).alias("subject"), "timestamp", "source", "correlation_id", "metadata", "payload"), path)
+    V.publish(m.select("event_id", "event_type", V.subject(F.col("event_type")).alias("subject"), "timestamp", "source", "correlation_id", "metadata", "payload"), path)
     return path
 
 
 def stream_event_dedup(spark, sf_dir):
-    """Messages read as a stream, each id once."""
+    """Messages with an id read as a stream, each id once."""
     out, path = scratch(spark, "out"), _published(spark, sf_dir)
     V.run_available(V.once(V.subscribe(spark, path), "400 days").select("event_id", "event_type"), out, scratch(spark, "checkpoint"))
     return spark.read.schema("event_id string, event_type string").parquet(out)
 
 
-def stream_subject_counts(spark, sf_dir):
-    """Messages of one family, counted per day in a stream that is flushed by a last event."""
-    path, out = _published(spark, sf_dir), scratch(spark, "out")
+def _subject_counts(spark, path):
+    out = scratch(spark, "out")
     s = V.subscribe(spark, path, "events.entity.*").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
 
     def keep(batch, _):
@@ -264,9 +267,18 @@ def stream_subject_counts(spark, sf_dir):
     return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-def stream_ingest(spark, sf_dir):
-    """A polled feed: each batch is parsed and appended once, counted at the end."""
-    path, out = _published(spark, sf_dir), scratch(spark, "out")
+def stream_subject_counts(spark, sf_dir):
+    """Messages with an id of one family, counted per day in a stream that is flushed by a last event."""
+    return _subject_counts(spark, _published(spark, sf_dir))
+
+
+def stream_subject_counts_whole(spark, sf_dir):
+    """All messages of one family, with an id or not, counted per day in a stream."""
+    return _subject_counts(spark, _published(spark, sf_dir, whole=True))
+
+
+def _ingested(spark, path):
+    out = scratch(spark, "out")
 
     def handle(batch, _):
         batch.where(R.parsed("payload").isNotNull()).select("event_id", "event_type").write.mode("append").parquet(out)
@@ -275,6 +287,16 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def stream_ingest(spark, sf_dir):
+    """A polled feed of the messages with an id: each batch is parsed and appended once, counted at the end."""
+    return _ingested(spark, _published(spark, sf_dir))
+
+
+def stream_ingest_whole(spark, sf_dir):
+    """A polled feed of all messages, with an id or not: each batch is parsed and appended once, counted at the end."""
+    return _ingested(spark, _published(spark, sf_dir, whole=True))
+
+
 def event_retention(spark, sf_dir):
     e = table(prepare(spark), sf_dir, "event_messages").withColumn("event_id", F.col("delivery_id"))
     now = e.agg(F.max("timestamp").alias("now"))
@@ -293,7 +315,7 @@ QUERIES = {
     f.__name__: f
     for f in (schema_profile, schema_profile_records, schema_confidence, schema_merge, schema_latest_version, schema_create, schema_update, detect_types, validate_records, coerce_records, transform_rules,
               export_csv, export_parquet, load_lake, job_ledger, parse_uploads, upload_jobs, connector_union, connector_hosts, connector_recon, connector_accounts, pipeline_records, pipeline_ingest,
-              stream_event_dedup, stream_subject_counts, stream_ingest, event_retention, event_build)
+              stream_event_dedup, stream_subject_counts, stream_subject_counts_whole, stream_ingest, stream_ingest_whole, event_retention, event_build)
 }
 
 # ---- SQL ------------------------------------------------------------------
