@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
+
 #: What an object of the input may be nested in before it counts as unreadable.
 MAX_DEPTH = 900
 
@@ -75,3 +77,11 @@ def kind(v) -> str:
     return "array" if isinstance(v, list) else "object"
 
 
+
+
+def strings(values: list) -> pa.Array:
+    """Arrow text; half a surrogate pair, which JSON can escape and text can't hold, becomes ``?``."""
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([v if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsontext as J
 from ..session import materialize
-from .fieldstats import DIGITS, field_stats
+from .fieldstats import field_stats
 
 CHANGE = "change_kind string, field_name string, new_name string"
 #: JSON types that bear out a declared type; an undeclared or unknown type bears all. (fixed values of the task's statement)
@@ -268,10 +268,10 @@ class Knowledge:
         seen = self.words.get((scope, a.name))
         if words and seen and forms.get("w", 0) + forms.get("b", 0) > 0.5 * sum(forms.values()):
             # Booleans and words are told apart: a load may write its booleans as words.
-            flags = max(words, key=words.get) in ("true", "false")
+            flags = max((w for w in words if w), key=words.get, default="") in ("true", "false")
             seen = {w: x for w, x in seen.items() if (w in ("true", "false")) == flags}
             words = {w: x for w, x in words.items() if (w in ("true", "false")) == flags}
-            n, share = sum(words.values()), sum(seen.values()) or 1.0
+            n, share = sum(words.values()) or 1.0, sum(seen.values()) or 1.0
             seen = {w: x / share for w, x in seen.items()}
             both = sum(min(k / n, seen.get(w, 0.0)) for w, k in words.items())
             if both < 0.2:
@@ -286,22 +286,30 @@ class Knowledge:
         return 0.0 if fit > 0.9 else 0.2
 
 
-def load_layouts(stats: DataFrame) -> DataFrame:
+def usual_keys(stats: DataFrame) -> DataFrame:
+    """(scope, field, kind, key, share) of the forms and words with at least 1/200 of a field: at most 200 of each per field."""
+    f = ["scope", "field"]
+    g = stats.where("kind in ('c', 'w')").groupBy(*f, "kind", "key").agg(F.sum("n").alias("n"))
+    size = g.groupBy(*f, "kind").agg(F.sum("n").alias("m"))
+    return g.join(size, [*f, "kind"]).where("n >= 0.005 * m").select(*f, "kind", "key", (F.col("n") / F.col("m")).alias("share"))
+
+
+def load_layouts(stats: DataFrame, usual: DataFrame) -> DataFrame:
     """(scope, job, fields): one row per load, its fields with types, forms, words and middle value.
 
-    The list is as long as the layout is wide; values are counts already.
+    Forms and words that are usual in no field of the scope are one entry, '',
+    with their sum: only that is asked of them.
     """
     j = ["scope", "job", "field"]
-    base = F.when(F.col("kind") == "c", F.substring_index("key", DIGITS, 1)).otherwise(F.col("key"))
-    few = stats.where("kind in ('j', 'c', 'w')").withColumn("key", base).groupBy(*j, "kind", "key").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy(*j, "kind").orderBy(F.desc("n"), "key"))
-    few = few.withColumn("rank", rank).where("rank <= 32")
+    known = F.broadcast(usual.select("scope", "kind", "key").distinct().withColumn("known", F.lit(True)))
+    few = stats.where("kind in ('j', 'c', 'w')").join(known, ["scope", "kind", "key"], "left").withColumn("key", F.when((F.col("kind") == "j") | F.col("known"), F.col("key")).otherwise(""))
+    few = few.groupBy(*j, "kind", "key").agg(F.sum("n").alias("n"))
     mid = stats.where("kind in ('n', 'd')").groupBy(*j).agg(F.percentile(F.col("key").cast("double"), F.lit(0.5), F.col("n")).alias("v"))
     rows = few.select(*j, "kind", "key", F.col("n").cast("double").alias("v")).unionByName(mid.select(*j, F.lit("m").alias("kind"), F.lit("").alias("key"), "v"))
     return rows.groupBy("scope", "job").agg(F.collect_list(F.struct("field", "kind", "key", "v")).alias("fields"))
 
 
-def learn(stats: DataFrame, layouts: DataFrame, declared: dict[str, tuple[str, list[Node]]]) -> Knowledge:
+def learn(stats: DataFrame, layouts: DataFrame, usual: DataFrame, declared: dict[str, tuple[str, list[Node]]]) -> Knowledge:
     """Knowledge from all loads; what reaches the driver is bounded by the names in use, not by records or loads."""
     k = Knowledge()
     names: dict[str, set[str]] = {}
@@ -317,9 +325,7 @@ def learn(stats: DataFrame, layouts: DataFrame, declared: dict[str, tuple[str, l
         for r in pairs.collect():
             k.beside.setdefault((r[0], r[1]), set()).add(r[2])
     f = ["scope", "field"]
-    g = stats.where("kind in ('c', 'w')").withColumn("key", F.when(F.col("kind") == "c", F.substring_index("key", DIGITS, 1)).otherwise(F.col("key"))).groupBy(*f, "kind", "key").agg(F.sum("n").alias("n"))
-    size = g.groupBy(*f, "kind").agg(F.sum("n").alias("m"))
-    for r in g.join(size, [*f, "kind"]).where("n >= 0.005 * m").select(*f, "kind", "key", F.col("n") / F.col("m")).collect():
+    for r in usual.select(*f, "kind", "key", "share").collect():
         (k.forms if r[2] == "c" else k.words).setdefault((r[0], r[1]), {})[r[3]] = r[4]
     num = stats.where("kind in ('n', 'd')").groupBy(*f).agg(F.percentile(F.col("key").cast("double"), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), F.col("n")).alias("p"))
     for r in num.collect():
@@ -344,8 +350,9 @@ def load_changes(records: DataFrame, schemas: DataFrame, id_of_schema: str = "sc
     sids = spark.createDataFrame([(k, v[0]) for k, v in declared.items()], f"{id_of_schema} string, scope string")
     rows = records.where("job is not null and data is not null").join(F.broadcast(sids), id_of_schema)
     stats = materialize(field_stats(rows.select(F.col("scope"), F.concat_ws("\x1e", "job", id_of_schema).alias("job"), "data")), "layout-stats")
-    layouts = load_layouts(stats)
-    facts = spark.sparkContext.broadcast((declared, learn(stats, layouts, declared)))
+    usual = materialize(usual_keys(stats), "usual-keys")
+    layouts = materialize(load_layouts(stats, usual), "layouts")
+    facts = spark.sparkContext.broadcast((declared, learn(stats, layouts, usual, declared)))
 
     def run(batches):
         for b in batches:

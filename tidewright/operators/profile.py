@@ -1,36 +1,47 @@
 """Column-level data quality profile (problem 5).
 
-Two layers.  ``footer_profile`` profiles the columns of the files themselves:
-rows, exact null counts and extrema come from the footers where a chunk has
-valid statistics, distinct values from its dictionary where it is encoded by
-one throughout, and only chunks whose statistics are insufficient are decoded.
-``find_violations`` profiles the fields inside the JSON column: the counts of
-:mod:`fieldstats` say which forms, words and ranges a field has, every load is
-held against the others, and a second pass names the values that lack them.
-The scans of that layer select their rows by predicates on null counts and
-dictionary-encoded columns, so chunks without such rows aren't decoded either.
+Two layers, one method: counts kept beside a column chunk come first, its
+values only where those don't suffice.
+
+``footer_profile`` profiles the columns of the files themselves: rows, exact
+null counts and extrema come from the footers where a chunk has valid
+statistics, distinct values from its dictionary where it is encoded by one
+throughout, and only chunks whose statistics are insufficient are decoded.
+
+The fields inside the JSON column have no footers, so ``find_violations``
+reads the JSON once and lays it out as column chunks with dictionaries
+(:func:`fieldstats.column_chunks`).  Null rates, forms, words and ranges come
+from the dictionaries alone; they say what a field is like and which loads
+stand apart.  Every dictionary entry is then held against the rules of its
+field, and positions and ids are read only where an entry breaks them.
 
 A form, word or range that a whole load shares is no finding of its records,
-a shifted one is a finding of the load.
+a shifted one is a finding of the load.  What a rule needs before it speaks is
+stated as a bound on counts, alike at every size: a load with less than
+``LEAST`` values of a field isn't held against others, nor is any where fewer
+than three loads (nulls) or five (numbers) have the field.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import jsontext as J
 from ..session import materialize
-from .fieldstats import DIGITS, describe, field_stats
+from .fieldstats import TOP, column_chunks
 
 #: Share of its values from which a form or word belongs to a field; of a load's values from which the load shares it.
 COMMON, SHARED = 0.03, 0.5
 #: A word belongs to a field from this share on; the accepted words of a field with a set of words cover this much.
 WORD, COVER = 0.01, 0.9
-#: A gap in the sorted values beyond the middle 98 %, as a part of their span, that ends the range of a field.
-GAP = 0.3
+#: A gap in the sorted values beyond the middle 98 %, as a part of their span, that ends the range of a field; wider by GAP * FEW / n for n values.
+GAP, FEW = 0.3, 30
+#: Share of a form from which the length of its digit runs is fixed, three unseen values granted.
+FIXED = 0.94
+#: Forms and words with less than this share of a field can't belong to it, and count as absent elsewhere.
+RARE = 0.001
 #: How far the null rate or the words of a load must lie from the other loads', and how many values it needs.
 DEPART, NULLS, LEAST = 0.5, 0.35, 12
 
@@ -139,7 +150,8 @@ def column_profile(df: DataFrame, table: str) -> DataFrame:
     need = [r[0] for r in base.where("open > 0").select("column").collect()]  # column names of one table
     if need:
         text = lambda c: (F.col(c) + 0.0 if types[c] in ("double", "float") else F.col(c)).cast("string")  # noqa: E731  # -0.0 is 0.0
-        scan = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("v")) for c in need])).alias("x")).select("x.*").where("v is not null")
+        # Digests of 128 bits stand for the values, so long texts aren't shuffled.
+        scan = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.unhex(F.md5(text(c))).alias("v")) for c in need])).alias("x")).select("x.*").where("v is not null")
         out = out.join(scan.distinct().groupBy("column").agg(F.count("*").alias("s")), "column", "left")
     else:
         out = out.withColumn("s", F.lit(None).cast("bigint"))
@@ -149,61 +161,59 @@ def column_profile(df: DataFrame, table: str) -> DataFrame:
 # ---- what a field is like ------------------------------------------------------
 
 
-def _base(form: str) -> str:
-    return form.split(DIGITS, 1)[0]
-
-
 class Rules:
-    """Accepted forms, words and ranges of every field, from counts over all loads."""
+    """Accepted forms, words and ranges of every field, from counts over all loads.
+
+    ``forms`` maps a field to {(form, digits): n}, ``words`` to {word: n},
+    ``numbers`` a field and kind to {number: n}.
+    """
 
     def __init__(self, forms: dict, words: dict, numbers: dict):
         self.forms, self.digits, self.words, self.ranges = {}, {}, {}, {}
-        sizes = {f: sum(c.values()) for f, c in forms.items()}
         for f, c in forms.items():
-            n, base = sizes[f], {}
-            for form, k in c.items():
-                base[_base(form)] = base.get(_base(form), 0) + k
-            self.forms[f] = {x for x, k in base.items() if k >= COMMON * n}
+            n, base = sum(c.values()), {}
+            for (form, _), k in c.items():
+                base[form] = base.get(form, 0) + k
+            self.forms[f] = [x for x, k in base.items() if k >= COMMON * n]
             # The number of digits counts where it is one and the same almost everywhere.
-            for b in self.forms[f]:
-                own = {x: k for x, k in c.items() if _base(x) == b}
-                top = max(own, key=own.get)
-                if own[top] >= 0.97 * base[b] and base[b] >= 100:
-                    self.digits[f, b] = top
-        vocabulary: set[str] = set()
-        for f, c in words.items():
-            n = sum(c.values())
-            if n >= 300:
-                vocabulary |= {w for w, k in c.items() if k >= WORD * n}
+            self.digits[f] = {}
+            for form in self.forms[f]:
+                k, digits = max((k, d) for (x, d), k in c.items() if x == form)
+                if k >= FIXED * (base[form] + 3):
+                    self.digits[f][form] = digits
+        # A word that occurs once belongs to a field only if it is usual in another.
+        vocabulary = {w for c in words.values() for w, k in c.items() if k >= max(2, WORD * sum(c.values()))}
         for f, c in words.items():
             n = sum(c.values())
-            ok = {w for w, k in c.items() if k >= WORD * n and (n >= 300 or w in vocabulary or k >= 0.1 * n)}
-            if ok and len(ok) <= 64 and sum(c[w] for w in ok) >= COVER * n:
+            ok = [w for w, k in c.items() if k >= WORD * n and w in vocabulary]
+            if ok and sum(c[w] for w in ok) >= COVER * n:
                 self.words[f] = ok
         for (f, kind), c in numbers.items():
             self.ranges[f, kind] = _range(sorted((float(k), n) for k, n in c.items()))
 
-    def check(self, f: tuple[str, str], v) -> tuple[str, str] | None:
-        """(what fails, key) of a value that isn't null: form ``c``, word ``w``, or range ``n`` or ``d``."""
-        form, kind, key = describe(v)
-        forms = self.forms.get(f)
-        if forms is None:
-            return None
-        b = _base(form)
-        if b not in forms:
-            return "c", form
-        if self.digits.get((f, b), form) != form:
-            return "c", form
-        if kind == "w":
-            ok = self.words.get(f)
-            if ok is not None and key not in ok:
-                return "w", key
-        elif kind:
-            r = self.ranges.get((f, kind))
-            x = float(key)
-            if r is None or not r[0] <= x <= r[1] or (r[2] and kind == "n" and x != int(x)):
-                return kind, key
-        return None
+    def rows(self) -> list[tuple]:
+        """One row per field for :data:`RULES`."""
+        none = (None, None, None)
+        return [(*f, self.forms[f], self.digits[f], self.words.get(f), self.ranges.get((f, "n"), none), self.ranges.get((f, "d"), none)) for f in self.forms]
+
+
+_SPAN = "struct<lo:double,hi:double,whole:boolean>"
+RULES = f"scope string, field string, forms array<string>, fixed map<string,string>, words array<string>, n_range {_SPAN}, d_range {_SPAN}"
+
+
+def broken() -> Column:
+    """What an entry (form, digits, kind, key) breaks of the rules of its field: form ``c``, its digits ``g``, word ``w``, range ``n`` or ``d``; null if nothing."""
+    x = F.col("key").cast("double")
+
+    def outside(span: str, whole: bool) -> Column:
+        out = F.col(f"{span}.lo").isNull() | (x < F.col(f"{span}.lo")) | (x > F.col(f"{span}.hi"))
+        return out | (F.col(f"{span}.whole") & (x != F.floor(x))) if whole else out
+
+    fixed = F.try_element_at("fixed", F.col("form"))
+    rules = F.when(~F.array_contains("forms", F.col("form")), "c").when(fixed != F.col("digits"), "g")
+    rules = rules.when((F.col("kind") == "w") & ~F.array_contains("words", F.col("key")), "w")
+    rules = rules.when((F.col("kind") == "n") & outside("n_range", True), "n").when((F.col("kind") == "d") & outside("d_range", False), "d")
+    return F.when(~F.col("kind").isin("z", TOP), rules)
 
 
 def _quantile(points, q: float) -> float:
@@ -221,7 +231,7 @@ def _range(points) -> tuple[float, float, bool]:
     lo, hi = _quantile(points, 0.01), _quantile(points, 0.99)
     if sum(n for x, n in points if x < 0) <= 0.02 * total and lo < 0:
         lo = min(x for x, _ in points if x >= 0)
-    gap = (GAP if total >= 100 else 1.0) * max(hi - lo, abs(hi) / 32, 1e-9)
+    gap = GAP * (1 + FEW / total) * max(hi - lo, abs(hi) / 32, 1e-9)
     for x, _ in points:
         if x > hi:
             if x - hi > gap:
@@ -236,56 +246,81 @@ def _range(points) -> tuple[float, float, bool]:
     return lo - abs(lo) / 32, hi + abs(hi) / 32, whole and all(abs(x) < 2**20 for x in (lo, hi))
 
 
-def load_findings(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((job, field) whose null rate or distribution departs from the other loads, (scope, job, field, kind) of numbers that do)."""
-    f, j = ["scope", "field"], ["scope", "job", "field"]
-    total = lambda c, name: F.sum(F.when(c, F.col("n")).otherwise(0)).alias(name)
-    nulls = stats.where("kind = 'j'").groupBy(*j).agg(F.sum("n").alias("m"), total(F.col("key") == "null", "z"))
-    other = nulls.groupBy(*f).agg(F.sum("m").alias("all_m"), F.sum("z").alias("all_z"), F.count("*").alias("jobs"))
-    nulls = nulls.join(other, f).where((F.col("jobs") > 2) & (F.col("m") >= LEAST) & (F.col("all_m") > F.col("m")))
-    nulls = nulls.where(F.abs(F.col("z") / F.col("m") - (F.col("all_z") - F.col("z")) / (F.col("all_m") - F.col("m"))) > NULLS).select("job", "field")
-
-    # Words: how much of the load's share lies above the share elsewhere.  Booleans and words apart, a change of type is no drift.
-    w = stats.where("kind = 'w'").withColumn("b", F.col("key").isin("true", "false"))
-    w = w.join(w.groupBy(*j, "b").agg(F.sum("n").alias("m")), [*j, "b"])
-    all_w = w.groupBy(*f, "b", "key").agg(F.sum("n").alias("all_n"))
-    all_w = all_w.join(all_w.groupBy(*f, "b").agg(F.sum("all_n").alias("all_m"), F.max("all_n").alias("top")), [*f, "b"])
-    w = w.join(all_w, [*f, "b", "key"]).where((F.col("m") >= LEAST) & (F.col("all_m") > 2 * F.col("m")) & (F.col("top") > 0.05 * F.col("all_m")))
-    above = F.greatest(F.lit(0.0), F.col("n") / F.col("m") - (F.col("all_n") - F.col("n")) / (F.col("all_m") - F.col("m")))
-    words = w.groupBy(*j, "b").agg(F.sum(above).alias("tv")).where(F.col("tv") > DEPART).select("job", "field")
-
-    num = stats.where("kind in ('n', 'd')").withColumn("x", F.col("key").cast("double"))
-    per = num.groupBy(*j, "kind").agg(F.percentile("x", F.lit(0.5), F.col("n")).alias("med"), F.sum("n").alias("m"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q"))
-    per = per.where(F.col("m") >= LEAST)
-    mid = per.groupBy(*f, "kind").agg(F.percentile("med", F.lit(0.5)).alias("mid"), F.count("*").alias("jobs"), F.percentile(F.col("q")[1] - F.col("q")[0], F.lit(0.5)).alias("iqr"))
-    dev = per.join(mid, [*f, "kind"]).withColumn("dev", F.abs(F.col("med") - F.col("mid")))
-    mad = dev.groupBy(*f, "kind").agg(F.percentile("dev", F.lit(0.5)).alias("mad"))
-    span = num.groupBy(*f, "kind").agg(F.percentile("x", F.array(F.lit(0.02), F.lit(0.98)), F.col("n")).alias("p"))
-    moved = dev.join(mad, [*f, "kind"]).join(span, [*f, "kind"]).where((F.col("jobs") > 4) & (F.col("dev") > 9 * F.col("mad")) & (F.col("dev") > 0.25 * (F.col("p")[1] - F.col("p")[0])) & (F.col("dev") > 1.0 * F.col("iqr")))
-    moved = moved.select(*j, "kind")
-    return nulls.unionByName(words).unionByName(moved.select("job", "field")).distinct(), moved
-
-
-def rules_of(stats: DataFrame, moved: DataFrame) -> Rules:
-    """Learn what every field is like; what reaches the driver is bounded by fields, forms of some share and number bins."""
-    f = ["scope", "field"]
-    clean = stats.join(moved.select("job", "field", "kind"), ["job", "field", "kind"], "left_anti").where("kind in ('c', 'w', 'n', 'd')")
-    g = clean.groupBy(*f, "kind", "key").agg(F.sum("n").alias("n"))
-    size = g.groupBy(*f, "kind").agg(F.sum("n").alias("all_n"))
-    # Rarer forms and words can't become common ones; bins of numbers are at most 64 per power of two.
-    kept = g.join(size, [*f, "kind"]).where("kind in ('n', 'd') or n >= 0.001 * all_n")
-    forms: dict = {}
-    words: dict = {}
-    numbers: dict = {}
-    for r in kept.select(*f, "kind", "key", "n").collect():
-        k = (r[0], r[1])
-        if r[2] == "c":
-            forms.setdefault(k, {})[r[3]] = r[4]
-        elif r[2] == "w":
-            words.setdefault(k, {})[r[3]] = r[4]
-        else:
-            numbers.setdefault((k, r[2]), {})[r[3]] = r[4]
-    return Rules(forms, words, numbers)
+def _whole() -> Column:
+    """A form with its digits."""
+    return F.concat_ws("\n", "form", "digits")
+
+
+LOAD, FIELD = ["scope", "job", "field"], ["scope", "field"]
+
+
+def _some(c: Column, value: Column) -> Column:
+    return F.sum(F.when(c, value).otherwise(0))
+
+
+def load_profile(stats: DataFrame) -> DataFrame:
+    """One row per load and field: values and nulls, the commonest value's number, numbers of words and booleans, quartiles of numbers (``n``) and days (``d``)."""
+    n, kind, flag = F.col("n"), F.col("kind"), F.col("key").isin("true", "false")
+    out = [_some(kind != TOP, n).alias("m"), F.coalesce(F.max(F.when(kind == TOP, n)), F.lit(0)).alias("top"), _some(kind == "z", n).alias("z"), _some((kind == "w") & ~flag, n).alias("words"), _some((kind == "w") & flag, n).alias("flags")]
+    for k in "nd":
+        out += [_some(kind == k, n).alias(f"m_{k}"), F.percentile(F.when(kind == k, F.col("key").cast("double")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), n).alias(f"q_{k}")]
+    return stats.groupBy(*LOAD).agg(*out)
+
+
+def field_facts(loads: DataFrame, numbers: dict) -> DataFrame:
+    """What the loads of a field have in common, a row per field: null counts, the usual share of the commonest value, and centre, spread and span of numbers and days."""
+    mids = [F.count("*").alias("jobs"), F.sum("m").alias("all_m"), F.sum("z").alias("all_z"), F.sum("words").alias("all_words"), F.sum("flags").alias("all_flags")]
+    full = F.col("m") - F.col("z") >= LEAST
+    mids += [F.percentile(F.when(full, F.col("top") / (F.col("m") - F.col("z"))), F.lit(0.5)).alias("mid_top"), F.count_if(full).alias("jobs_full")]
+    for k in "nd":
+        enough = F.col(f"m_{k}") >= LEAST
+        mids += [F.percentile(F.when(enough, F.col(f"q_{k}")[1]), F.lit(0.5)).alias(f"mid_{k}"), F.percentile(F.when(enough, F.col(f"q_{k}")[2] - F.col(f"q_{k}")[0]), F.lit(0.5)).alias(f"iqr_{k}"), F.count_if(enough).alias(f"jobs_{k}")]
+    spark = loads.sparkSession
+    # One row per name in use.
+    mid = loads.groupBy(*FIELD).agg(*mids)
+    mid = spark.createDataFrame(mid.collect(), mid.schema)
+    dev = [F.percentile(F.when(F.col(f"m_{k}") >= LEAST, F.abs(F.col(f"q_{k}")[1] - F.col(f"mid_{k}"))), F.lit(0.5)).alias(f"mad_{k}") for k in "nd"]
+    mad = {(r[0], r[1]): r for r in loads.join(F.broadcast(mid), FIELD).groupBy(*FIELD).agg(*dev).collect()}
+    rows = []
+    for r in mid.collect():
+        f = (r["scope"], r["field"])
+        spans = []
+        for k in "nd":
+            points = sorted((float(x), n) for x, n in numbers.get((f, k), {}).items())
+            spans.append(_quantile(points, 0.98) - _quantile(points, 0.02) if points else None)
+        rows.append((*r, mad[f]["mad_n"], mad[f]["mad_d"], *spans))
+    return spark.createDataFrame(rows, mid.schema.add("mad_n", "double").add("mad_d", "double").add("span_n", "double").add("span_d", "double"))
+
+
+def judged_loads(loads: DataFrame, facts: DataFrame) -> DataFrame:
+    """(scope, job, field, m, z, words, flags, nulls, same, moved_n, moved_d): whether the null rate of a load, the share of one value, the numbers or the days depart from the other loads'."""
+    rest = F.col("all_m") - F.col("m")
+    off = F.abs(F.col("z") / F.col("m") - (F.col("all_z") - F.col("z")) / rest) > NULLS
+    flags = [((F.col("jobs") > 2) & (F.col("m") >= LEAST) & (rest > 0) & off).alias("nulls")]
+    full = F.col("m") - F.col("z")
+    flags.append(((F.col("jobs_full") > 4) & (full >= LEAST) & (F.col("top") > (F.col("mid_top") + DEPART) * full)).alias("top"))
+    for k in "nd":
+        dev = F.abs(F.col(f"q_{k}")[1] - F.col(f"mid_{k}"))
+        flags.append(((F.col(f"jobs_{k}") > 4) & (F.col(f"m_{k}") >= LEAST) & (dev > 9 * F.col(f"mad_{k}")) & (dev > 0.25 * F.col(f"span_{k}")) & (dev > F.col(f"iqr_{k}"))).alias(k))
+    return loads.join(F.broadcast(facts), FIELD).select(*LOAD, "m", "z", "words", "flags", *[F.coalesce(x, F.lit(False)).alias(n) for x, n in zip(flags, ("nulls", "same", "moved_n", "moved_d"))])
+
+
+def shifted_words(stats: DataFrame, loads: DataFrame, words: dict, spark) -> DataFrame:
+    """(job, field) whose words, or whose booleans, have shares that depart from those elsewhere."""
+    rows = []
+    for (scope, field), c in words.items():
+        for flag in (False, True):
+            own = {w: n for w, n in c.items() if (w in ("true", "false")) == flag}
+            rows += [(scope, field, w, n, max(own.values())) for w, n in own.items()]
+    # At most 1 / RARE words per field.
+    usual = F.broadcast(spark.createDataFrame(rows, "scope string, field string, key string, all_n bigint, top bigint"))
+    flag = F.col("key").isin("true", "false")
+    w = stats.where("kind = 'w'").groupBy(*LOAD, "key").agg(F.sum("n").alias("n")).join(usual, [*FIELD, "key"], "left")
+    w = w.join(loads, LOAD).withColumn("m", F.when(flag, F.col("flags")).otherwise(F.col("words"))).withColumn("all_m", F.when(flag, F.col("all_flags")).otherwise(F.col("all_words")))
+    w = w.where((F.col("m") >= LEAST) & (F.col("all_m") > 2 * F.col("m")))
+    elsewhere = F.greatest(F.lit(0), F.coalesce("all_n", F.lit(0)) - F.col("n")) / (F.col("all_m") - F.col("m"))
+    w = w.groupBy("job", "field", flag.alias("flag")).agg(F.sum(F.greatest(F.lit(0.0), F.col("n") / F.col("m") - elsewhere)).alias("far"), F.max(F.col("top") / F.col("all_m")).alias("top"))
+    return w.where((F.col("far") > DEPART) & (F.col("top") > 0.05)).select("job", "field")
 
 
 def find_violations(records: DataFrame, id_col: str = "id") -> DataFrame:
@@ -296,64 +331,67 @@ def find_violations(records: DataFrame, id_col: str = "id") -> DataFrame:
     records and those of a null scope or job have no findings; equal records
     have them under each id.
     """
-    rows = records.where("scope is not null and job is not null and data is not null")
-    stats = materialize(field_stats(rows), "field-stats")
-    loads, moved = load_findings(stats)
-    moved = materialize(moved, "field-moved")
-    rules = rows.sparkSession.sparkContext.broadcast(rules_of(stats, moved))
-
-    def run(batches):
-        for b in batches:
-            out: list[list] = [[] for _ in range(5)]
-            check = rules.value.check
-            for sc, jb, rid, text in zip(*(b.column(i).to_pylist() for i in range(4))):
-                d = J.read(text)
-                if not isinstance(d, dict):
-                    continue
-                for f, v in d.items():
-                    if v is not None:
-                        bad = check((sc, f), v)
-                        if bad:
-                            for x, y in zip(out, (jb, rid, f, *bad)):
-                                x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=["job", "record_id", "field", "kind", "key"])
-
-    found = rows.select("scope", "job", F.col(id_col).cast("string").alias("i"), "data").mapInArrow(run, "job string, record_id string, field string, kind string, key string")
-    # What the whole load shares: its form, or a word that is usual in it.
-    per = stats.where("kind in ('c', 'w')").groupBy("job", "field", "kind", "key").agg(F.sum("n").alias("n"))
-    size = stats.where("kind = 'j' and key <> 'null'").groupBy("job", "field").agg(F.sum("n").alias("m"))
-    base = F.when(F.col("kind") == "c", F.substring_index("key", DIGITS, 1)).otherwise(F.col("key"))
-    usual = per.withColumn("base", base).groupBy("job", "field", "kind", "base").agg(F.sum("n").alias("n")).join(size, ["job", "field"])
-    usual = usual.where((F.col("m") >= LEAST) & (F.col("n") >= F.when(F.col("kind") == "c", SHARED).otherwise(0.2) * F.col("m"))).select("job", "field", "kind", "base")
-    words = usual.where("kind = 'w'").select("job", "field", F.col("base").alias("word"))
-    found = found.withColumn("base", base)
-    # A word in a load of words: the form is the load's, so the word itself is looked at (it is in ``key`` of kind w only).
-    rest = found.join(usual, ["job", "field", "kind", "base"], "left_anti")
-    rest = rest.join(moved.select("job", "field", "kind"), ["job", "field", "kind"], "left_anti").select("job", "record_id", "field")
-    stray = _stray_words(rows, found.where("kind = 'c' and base = 'w'").join(usual.where("kind = 'c'"), ["job", "field", "kind", "base"], "left_semi"), words, id_col)
-    out = rest.unionByName(stray).unionByName(loads.select("job", F.lit("").alias("record_id"), "field"))
+    spark = records.sparkSession
+    rows = records.where("scope is not null and job is not null and data is not null").select("scope", "job", F.col(id_col).cast("string").alias("id"), "data")
+    chunks = materialize(column_chunks(rows), "field-chunks")
+    cells = chunks.select("scope", "job", F.explode("cols").alias("c")).select("scope", "job", "c.field", F.explode("c.dict").alias("e"))
+    entry = ["form", "digits", "kind", "key"]
+    stats = materialize(cells.groupBy(*LOAD, *[F.col(f"e.{x}").alias(x) for x in entry]).agg(F.sum("e.n").alias("n")), "field-stats")
+    loads = materialize(load_profile(stats), "field-loads")
+
+    # What reaches the driver is bounded by the names in use: forms and words of a share, bins of numbers (64 per power of two), days.
+    size = F.broadcast(loads.groupBy(*FIELD).agg(F.sum(F.col("m") - F.col("z")).alias("all")))
+    asked = F.array(F.struct(F.lit("c").alias("k"), F.col("form").alias("a"), F.col("digits").alias("b")), F.struct(F.col("kind").alias("k"), F.col("key").alias("a"), F.lit("").alias("b")))
+    values = ~F.col("kind").isin("z", TOP)
+    counts = stats.where(values).select(*LOAD, F.explode(asked).alias("x"), "n").where("x.k <> ''")
+    total = counts.groupBy(*FIELD, "x").agg(F.sum("n").alias("n")).join(size, FIELD).where(F.col("x.k").isin("n", "d") | (F.col("n") >= RARE * F.col("all")))
+    forms: dict = {}
+    words: dict = {}
+    numbers: dict = {}
+    for sc, f, (k, a, b), n in total.select(*FIELD, "x", "n").collect():
+        if k == "c":
+            forms.setdefault((sc, f), {})[a, b] = n
+        elif k == "w":
+            words.setdefault((sc, f), {})[a] = n
+        else:
+            numbers.setdefault(((sc, f), k), {})[a] = n
+    facts = field_facts(loads, numbers)
+    judged = materialize(judged_loads(loads, facts), "field-judged")
+    # Loads that have moved don't widen a range.
+    moved = judged.where("moved_n or moved_d").select(*LOAD, F.array_compact(F.array(F.when(F.col("moved_n"), "n"), F.when(F.col("moved_d"), "d"))).alias("kinds"))
+    gone = counts.where("x.k in ('n', 'd')").join(moved, LOAD).where(F.array_contains("kinds", F.col("x.k"))).groupBy(*FIELD, "x").agg(F.sum("n").alias("n"))
+    for sc, f, (k, a, _), n in gone.collect():
+        numbers[(sc, f), k][a] -= n
+    numbers = {f: kept for f, c in numbers.items() if (kept := {x: n for x, n in c.items() if n > 0})}
+    rules = F.broadcast(spark.createDataFrame(Rules(forms, words, numbers).rows(), RULES))
+
+    # Positions and ids are looked up only under entries that break a rule.
+    bad = chunks.select("scope", "job", "ids", F.explode("cols").alias("c")).select("scope", "job", "ids", "c.field", F.explode("c.dict").alias("e"))
+    bad = bad.select("scope", "job", "field", "ids", *[F.col(f"e.{x}").alias(x) for x in entry], "e.at").join(rules, FIELD).withColumn("broken", broken()).where("broken is not null")
+    whole = _whole().alias("whole")
+    bad = bad.select("job", "field", "form", whole, "key", "broken", F.explode("at").alias("i"), "ids").select("job", "field", "form", "whole", "key", "broken", F.get("ids", F.col("i")).alias("record_id"))
+
+    # What a load shares: a form, with and without its digits, of at least half of its values, a word of a fifth; so at most nine.
+    shared = stats.where(values).select(*LOAD, F.explode(F.array(F.struct(F.lit("c").alias("k"), F.col("form").alias("a")), F.struct(F.lit("g").alias("k"), _whole().alias("a")), F.struct(F.col("kind").alias("k"), F.col("key").alias("a")))).alias("x"), "n").where("x.k in ('c', 'g', 'w')")
+    shared = shared.groupBy(*LOAD, "x").agg(F.sum("n").alias("n")).join(judged, LOAD).where((F.col("m") - F.col("z") >= LEAST) & (F.col("n") >= F.when(F.col("x.k") == "w", 0.2).otherwise(SHARED) * (F.col("m") - F.col("z"))))
+    shared = shared.select(*LOAD, "x.k", "x.a").unionByName(moved.select(*LOAD, F.explode("kinds").alias("k"), F.lit("").alias("a")))
+    shared = shared.groupBy("job", "field").agg(*[F.collect_set(F.when(F.col("k") == k, F.col("a"))).alias(f"own_{k}") for k in "cgwnd"])
+    bad = bad.join(shared, ["job", "field"], "left")
+    own = lambda k, x: F.coalesce(F.array_contains(f"own_{k}", x), F.lit(False))
+    # A word in a load of words: the form is the load's, so the word itself is looked at.
+    form = ~own("c", F.col("form")) | ((F.col("form") == "w") & ~own("w", F.col("key")))
+    stays = F.when(F.col("broken") == "c", form).when(F.col("broken") == "g", ~own("g", F.col("whole"))).when(F.col("broken") == "w", ~own("w", F.col("key")))
+    for k in "nd":
+        stays = stays.when(F.col("broken") == k, ~own(k, F.lit("")))
+    found = bad.where(stays).select("job", "record_id", "field")
+    apart = judged.where("nulls or same or moved_n or moved_d").select("job", "field")
+    if words:
+        sizes = judged.join(F.broadcast(facts.select(*FIELD, "all_words", "all_flags")), FIELD).select(*LOAD, "words", "flags", "all_words", "all_flags")
+        apart = apart.unionByName(shifted_words(stats, sizes, words, spark)).distinct()
+    out = found.unionByName(apart.select("job", F.lit("").alias("record_id"), "field"))
     return out.select(F.col("job").alias("job_id"), "record_id", F.col("field").alias("field_name"))
 
 
-def _stray_words(rows: DataFrame, cells: DataFrame, words: DataFrame, id_col: str) -> DataFrame:
-    """Of the cells whose form (a word) only their load shares, those whose word isn't usual in the load."""
-    own = rows.select(F.col("job"), F.col(id_col).cast("string").alias("record_id"), "data").join(cells.select("job", "record_id", "field"), ["job", "record_id"])
-    word = F.pandas_udf(_field_text, "string")
-    own = own.withColumn("word", word("data", "field"))
-    return own.join(words, ["job", "field", "word"], "left_anti").select("job", "record_id", "field")
-
-
-def _field_text(data, field):
-    import pandas as pd
-
-    def one(text, f):
-        d = J.read(text)
-        v = d.get(f) if isinstance(d, dict) else None
-        return v if isinstance(v, str) else None
-
-    return pd.Series([one(t, f) for t, f in zip(data, field)], dtype=object)
-
-
 def malformed_names(jobs: DataFrame, id_col: str = "id", name_col: str = "file_name", share: float = 0.05) -> DataFrame:
     """(job_id) of loads whose file name isn't formed like the others.
 
@@ -370,9 +408,7 @@ def malformed_names(jobs: DataFrame, id_col: str = "id", name_col: str = "file_n
     date = F.regexp_extract(n, r"(?<!\d)(\d{8})(?!\d)", 1)
     real = (date == "") | F.try_to_timestamp(date, F.lit("yyyyMMdd")).isNotNull()
     named = jobs.where(n.isNotNull()).select(F.col(id_col).alias("job_id"), stem.alias("stem"), ext.alias("ext"), real.alias("real"))
-    total = named.agg(F.count("*").alias("total"))
-    stems = named.groupBy("stem").agg(F.count("*").alias("sn")).join(F.broadcast(total), F.lit(True)).where(F.col("sn") >= share * F.col("total")).select("stem")
-    exts = named.groupBy("ext").agg(F.count("*").alias("en")).join(F.broadcast(total), F.lit(True)).where(F.col("en") >= share * F.col("total")).select("ext")
-    # At most 1/share forms and endings are common.
-    good = named.where("real").join(F.broadcast(stems), "stem", "left_semi").join(F.broadcast(exts), "ext", "left_semi").select("job_id")
-    return named.select("job_id").join(good, "job_id", "left_anti").distinct()
+    least = share * named.count()
+    # At most 1 / share forms and endings are common.
+    stems, exts = ([r[0] for r in named.groupBy(c).count().where(F.col("count") >= least).select(c).collect()] for c in ("stem", "ext"))
+    return named.where(~(F.col("real") & F.col("stem").isin(stems) & F.col("ext").isin(exts))).select("job_id").distinct()
