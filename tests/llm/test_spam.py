@@ -1,10 +1,11 @@
 """Spam pages on made-up pages of every kind, and edge cases."""
 
-import random
-
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.llm import spam as S
+from tidewright.session import table
 
 PROSE = [
     "The crew of the small vessel left the harbour at noon and did not answer the radio until late in the evening.",
@@ -15,11 +16,6 @@ PROSE = [
 ]
 
 
-def _share(text):
-    j = S.judge(text)
-    return sum(size for _, size, bad, _ in j if bad) / max(1, sum(map(len, text.split())))
-
-
 SPAM = {
     "list": "cheap blue lamps | " * 30,
     "bare": "cheap blue lamps buy red chairs cheap blue lamps " * 12,
@@ -50,23 +46,44 @@ FAIR = {
 }
 
 
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    """The documents of a small table with the pages above among them, and which are found."""
+    docs = [(1000 + i, t) for i, t in enumerate(SPAM.values())] + [(2000 + i, t) for i, t in enumerate(FAIR.values())]
+    docs += [(3000, None), (3001, ""), (3002, " \n "), (None, SPAM["list"]), (3003, SPAM["list"]), (3004, "x" * 100_000), (3005, "cheap blue lamps | " * 20_000)]
+    made = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("doc_id", F.col("doc_id") + 10**9)
+    df = table(spark, SF, "documents").select("doc_id", "text").unionByName(made).withColumns({"size": F.lit("x"), "total": F.lit("y")})
+    found = {r[0] for r in S.spam_pages(df).collect()}
+    return df, found
+
+
 @pytest.mark.parametrize("name", SPAM)
-def test_spam(name):
-    assert _share(SPAM[name]) > 0.5
+def test_spam(pages, name):
+    assert 10**9 + 1000 + list(SPAM).index(name) in pages[1]
 
 
 @pytest.mark.parametrize("name", FAIR)
-def test_fair(name):
-    assert _share(FAIR[name]) <= 0.5
+def test_fair(pages, name):
+    assert 10**9 + 2000 + list(FAIR).index(name) not in pages[1]
 
 
-def test_pages(spark):
-    rng = random.Random(1)
-    docs = [(i, " ".join(rng.sample(PROSE, 4))) for i in range(300)]
-    docs += [(1000 + i, t) for i, t in enumerate(SPAM.values())] + [(2000 + i, t) for i, t in enumerate(FAIR.values())]
-    docs += [(3000, None), (3001, ""), (3002, " \n "), (None, SPAM["list"]), (3003, SPAM["list"]), (3004, "x" * 100_000), (3005, "cheap blue lamps | " * 20_000)]
-    got = sorted(r[0] for r in S.spam_pages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())
-    assert got == [1000 + i for i in range(len(SPAM))] + [3003, 3005]
+def test_edges(pages):
+    assert {x - 10**9 for x in pages[1] if x >= 10**9 + 3000} == {3003, 3005}
+
+
+def test_without_the_model_the_pages_change(pages, monkeypatch):
+    """The model decides: with one that knows no prose most pages aren't told apart any more."""
+    df, found = pages
+    monkeypatch.setattr(S, "train", lambda cut: S.Model(np.ones(S.K**3)))
+    assert len(found) > 50 and len(found & {r[0] for r in S.spam_pages(df).collect()}) < 0.1 * len(found)
+
+
+def test_shapes_of_addresses():
+    assert S.shape("https://www.red.test") == S.shape("red[.]test/") != S.shape("red7.test")
+    assert len({S.shape(f"http://{h}.test{p}") for h in ("red", "red7") for p in ("", "/a?b", "/a/12", "/a/b")}) == 8
 
 
 def test_empty(spark):
@@ -74,7 +91,6 @@ def test_empty(spark):
 
 
 def test_model_prefers_prose(spark):
-    cut = spark.createDataFrame([(1, 0, 10, 10, "fCfcfc.", False, True)] * 50, S.PASSAGES)
-    bits = S.train(cut)
-    a, b = S._score(["fCfcfc.", "rrrrrr"], bits)
-    assert a < b
+    cut = spark.createDataFrame([(1, 10, 10, "fCfcfc.", [0] * 9, True)] * 50, S.PASSAGES)
+    (a, b), enough = S.train(cut).score(["fCfcfc.", "rrrrrr"])
+    assert a < b and list(enough) == [True, True]

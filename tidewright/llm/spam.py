@@ -1,22 +1,29 @@
 """Keyword-stuffed and link-list pages (problem 9).
 
 A page is cut into passages: sentences, and runs of lines that end without
-sentence punctuation.  Every passage becomes a sequence of word classes
-(function words of eight languages, new and repeated content words, links,
-tags, numbers, punctuation).  A trigram model of these classes is trained on
-the prose passages of the whole corpus, and passages whose perplexity lies
-outside the range of prose, on either side, are suspect.  A suspect passage
-counts against the page if an exact look at it finds what the model can't
-tell from an odd table: mostly repeated words, throw-away links or tags.  A
-page is found when such passages are the larger part of its text.
+sentence punctuation.  Every passage becomes a sequence of word classes:
+function words of eight languages, content words, content words that the
+passage has already had, links by the shape of their address, tags, markup,
+indicators, numbers, punctuation.  A trigram model of these classes is trained
+on prose, and a passage whose perplexity lies outside the range of prose, on
+either side, is abnormal.  A page is found when abnormal passages are the
+larger part of its text.
+
+Prose is chosen by its form alone: a sentence with end and few repeated words.
+The model decides everything else, also which shapes of addresses prose names:
+those, and indicators, are read as one where they run in a list, and don't
+count as text of a suspect page; an analyst's list of addresses is a list of
+such.  Shapes that prose never names stay as improbable as the model has them.
 
 Lines of logs, tables, transcripts and record dumps are neither prose nor
-spam; they count in the length of the page only.
+spam, nor has a passage of a few words a perplexity to speak of; they count in
+the length of the page only.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +47,25 @@ FUNCTION_WORDS = frozenset(
     """.split()
 )
 
-#: Classes of the model, one letter each in this order.
-CLASSES = "^$fcrkCRKnultgi,.;:|-=h"
+#: Shapes of addresses: host without and with a number at the end of a label, each with no path, a query, a path that ends in a digit, another path.
+LINKS = "abdejmop"
+#: Classes of the model, one letter each: begin, end, function word, content word (small or capital, first or repeated), CJK sign (first or repeated), number, tag, other, markup, indicator.
+CLASSES = "^$fcCrRzyntghi,.;:|-=" + LINKS
 INDEX = {c: i for i, c in enumerate(CLASSES)}
 K = len(CLASSES)
+#: Classes of words, links and tags; a passage is judged from this number of them on.
+JUDGED, LEAST = "fcCrRzyt" + LINKS, 6
+#: Surprisal in bits up to which prose names a shape of address: once in 4096 tokens.
+NAMED = 12.0
+#: Part of the content words of a sentence that may be repeated for it to count as prose by form.
+REPEATED = 0.15
 
 _RECORD = re.compile(
     r"""\s*(?:[>*-]\s+)?(?:
         \d{4}-\d\d-\d\d[T ]\d\d:\d\d            # a log line
       | \[\d\d?:\d\d(?::\d\d)?\]                # a line of a transcript
-      | [\[\]{}"](?!\(|[^\]\n]{0,200}\]\()         # a dump of records, but no link of the form [text](address)
+      | (?:[\[{]\s*)*"(?:[^"\\\n]|\\.)*"\s*:       # a dump of records: a quoted name and a colon
+      | [\[\]{}][\s\[\]{},]*$                     # or brackets alone
     )""",
     re.X,
 )
@@ -71,37 +87,46 @@ def _is_sentence(text: str) -> bool:
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|(?<=[。！？])")
 _TERMINAL = re.compile(r"[.!?。！？…][\"'”»)\]]*$")
 _TOKEN = re.compile(
-    r"""<[^<>\n]{0,300}>
+    r"""<[^<>\n]*>
       | (?:https?|hxxps?)://(?:[^\s<>"')\]|,;\[]|\[\.\])+
       | [\w.+-]+@[\w.\[\]-]+
+      | \d{1,3}(?:\[?\.\]?\d{1,3}){3}(?![\w.])
       | (?:www\.)?\w[\w-]*(?:\[?\.\]?\w[\w-]*)*\[?\.\]?[A-Za-z]{2,}(?:/[^\s<>"')\]|,;]*)?(?![\w])
       | tag:\S+ | [#＃][^\W_][\w]*
-      | \w+(?:['’]\w+)*
+      | [぀-ヿ㐀-鿿가-힯]
+      | [^\W぀-ヿ㐀-鿿가-힯]+(?:['’]\w+)*
       | [^\w\s]""",
     re.X,
 )
 _DOMAIN = re.compile(r"^(?:[a-z]+://)?(?:www\.)?[\w-]+(?:\[?\.\]?[\w-]+)+(?:[/:?].*)?$", re.I)
-#: Links of throw-away shops: a numbered host, or a path that only asks for a click.
-_THROWAWAY = re.compile(r"^(?:[a-z]+://)?(?:www\.)?[\w-]*[a-z]\d+\.[a-z.]+(?:[/?]|$)|/(?:buy|go|best|p|deal|shop|offer)/?(?:[?#]|$)|[/?&]ref=", re.I)
 _INDICATOR = re.compile(r"^(?:[0-9a-f]{32,}|\d{1,3}(?:\.\d{1,3}){3}|.*\[\.\].*|[\w.+-]+@.+)$", re.I)
 _HREF = re.compile(r"""href\s*=\s*["']?([^"'\s>]+)""", re.I)
 _LEET = str.maketrans("013457", "oleast")
-_SKU = re.compile(r"^(?:SKU|ART|REF|EAN)$", re.I)
+_CJK = re.compile(r"^[぀-ヿ㐀-鿿가-힯]$")
 _WORDCHAR = re.compile(r"[^\W\d_]")
-_CJK = re.compile(r"^[぀-ヿ㐀-鿿가-힯]{5,}$")
+_ADDRESS = re.compile(r"^(?:[a-z]+://)?(?:www\.)?([^/?#:]*)(?::\d+)?(.*)$", re.I | re.S)
+
+
+def shape(address: str) -> str:
+    """Class of a link by the shape of its address."""
+    host, path = _ADDRESS.match(address).groups()
+    path = path.rstrip("/")
+    numbered = any(x[-1:].isdigit() and not x.isdigit() for x in re.split(r"\[?\.\]?", host))
+    kind = 0 if not path else 1 if "?" in path else 2 if path[-1].isdigit() else 3
+    return LINKS[4 * numbered + kind]
 
 
 def _learn(tok: str) -> tuple[str, str | None]:
     """(class, folded word if it is a content word) of a token."""
     if tok[0] == "<" and len(tok) > 1:
         m = _HREF.search(tok)
-        return ("l" if m and _THROWAWAY.search(m[1]) else "h"), None
+        return (shape(m[1]) if m else "h"), None
     if tok[0] in "#＃" and len(tok) > 1 or tok.lower().startswith("tag:"):
         return "t", None
     if _INDICATOR.match(tok):
         return "i", None
     if ("." in tok or "/" in tok) and len(tok) > 3 and _DOMAIN.match(tok) and _WORDCHAR.search(tok):
-        return ("l" if _THROWAWAY.search(tok) else "u"), None
+        return shape(tok), None
     if not _WORDCHAR.search(tok):
         if tok[0].isdigit():
             return "n", None
@@ -109,11 +134,9 @@ def _learn(tok: str) -> tuple[str, str | None]:
     low = tok.lower()
     if low in FUNCTION_WORDS:
         return "f", None
-    if _SKU.match(tok):
-        return "k", None
     if _CJK.match(tok):
-        return "C", None
-    return ("C" if tok[0].isupper() else "c"), low.translate(_LEET)
+        return "z", tok
+    return ("C" if tok[0].isupper() and (len(tok) == 1 or not tok.isupper()) else "c"), low.translate(_LEET)
 
 
 _KNOWN: dict[str, tuple[str, str | None]] = {}
@@ -145,10 +168,13 @@ def passages(text: str):
         yield "\n".join(block)
 
 
-def describe(passage: str) -> tuple[str, int, int, int, int, int, dict[str, int]]:
-    """Class string, content words, repeated ones, characters of links, of tags, of indicators; how often each content word occurs."""
-    get, out, seen = _KNOWN.get, [], {}
-    words = again = links = tags = inds = 0
+_AGAIN = {"c": "r", "C": "R", "z": "y"}
+_COUNTED = {c: i for i, c in enumerate("i" + LINKS)}
+
+
+def describe(passage: str) -> tuple[str, list[int]]:
+    """Class string, and characters of indicators and of each shape of link."""
+    get, out, seen, chars = _KNOWN.get, [], set(), [0] * len(_COUNTED)
     for tok in _TOKEN.findall(passage):
         k = get(tok)
         if k is None:
@@ -157,70 +183,39 @@ def describe(passage: str) -> tuple[str, int, int, int, int, int, dict[str, int]
             k = _KNOWN[tok] = _learn(tok)
         c, w = k
         if w is not None:
-            words += 1
             if w in seen:
-                again += 1
-                c = "R" if c == "C" else "r"
+                c = _AGAIN[c]
             else:
-                seen[w] = 0
-            seen[w] += 1
-        elif c == "l":
-            links += len(tok)
-        elif c == "t":
-            tags += len(tok)
-        elif c == "k":
-            tags += 20
-        elif c == "i" or c == "u":
-            inds += len(tok)
+                seen.add(w)
+        elif c in _COUNTED:
+            chars[_COUNTED[c]] += len(tok)
         out.append(c)
-    return "".join(out), words, again, links, tags, inds, seen
+    return "".join(out), chars
 
 
-#: Shares that make a suspect passage one of repeated words, links or tags; and of words that its page repeats elsewhere.
-REPEATED, LINKED, TAGGED, ELSEWHERE = 0.25, 0.25, 0.35, 0.5
-#: Content words a passage needs before its repetitions mean anything.
-WORDS = 6
-
-
-def _look(words: int, again: int, links: int, tags: int, inds: int, size: int) -> bool:
-    """Whether a passage is one of repeated words, links or tags."""
-    if links >= LINKED * size or tags >= TAGGED * size:
-        return True
-    return words >= WORDS and again >= REPEATED * words and inds < 0.5 * size
-
+PASSAGES = "doc_id bigint, size int, total int, seq string, chars array<int>, prose boolean"
 
-PASSAGES = "doc_id bigint, p int, size int, total int, seq string, bad boolean, prose boolean"
 
-
-def judge(text: str) -> list[tuple[str, int, bool, bool]]:
-    """(class string, size, bad, prose) of each passage of a page."""
-    parts, hot = [], set()
-    for p in passages(text):
-        seq, words, again, links, tags, inds, seen = describe(p)
-        size = sum(map(len, p.split()))
-        bad = _look(words, again, links, tags, inds, max(size, 1))
-        if bad:
-            hot.update(w for w, n in seen.items() if n > 1)
-        parts.append((p, seq, words, again, links, tags, seen, size, bad))
+def judge(text: str) -> list[tuple[str, list[int], int, bool]]:
+    """(class string, characters of indicators and links, size, prose by form) of each passage of a page."""
     out = []
-    for p, seq, words, again, links, tags, seen, size, bad in parts:
-        # A sentence between stuffed ones that is made of the words they repeat.
-        bad = bad or len(hot) > 0 and words > 1 and sum(n for w, n in seen.items() if w in hot) >= ELSEWHERE * words
-        fun = seq.count("f")
-        prose = not bad and len(seq) >= 6 and again <= 0.15 * words and not links and not tags and (fun >= 0.2 * (words + fun) or "C" in seq and words < 4) and _is_sentence(p)
-        out.append((seq, size, bad, prose))
+    for p in passages(unicodedata.normalize("NFC", text)):
+        seq, chars = describe(p)
+        again = sum(map(seq.count, "rRy"))
+        prose = len(seq) >= LEAST and again <= REPEATED * (again + sum(map(seq.count, "cCz"))) and _is_sentence(p)
+        out.append((seq, chars, sum(map(len, p.split())), prose))
     return out
 
 
 def _cut(batches):
     for b in batches:
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(6)]
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             total = sum(map(len, text.split()))
-            for i, (seq, size, bad, prose) in enumerate(judge(text)):
-                for c, x in zip(cols, (doc, i, size, total, seq, bad, prose)):
+            for seq, chars, size, prose in judge(text):
+                for c, x in zip(cols, (doc, size, total, seq, chars, prose)):
                     c.append(x)
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in PASSAGES.split(", ")])
 
 
@@ -247,45 +242,71 @@ def _count(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["tri", "n"])
 
 
-def train(cut: DataFrame) -> np.ndarray:
-    """Surprisal in bits of each class trigram, from all prose passages; interpolated with bigrams and a uniform share."""
+def train(cut: DataFrame) -> Model:
+    """The model of all passages that are prose by form."""
     rows = cut.where("prose").select("seq").mapInArrow(_count, "tri bigint, n bigint").groupBy("tri").agg(F.sum("n").alias("n")).collect()
     c3 = np.zeros(K**3)
     for r in rows:  # at most one row per trigram of classes
         c3[r[0]] = r[1]
-    c3 = c3.reshape(K, K, K)
+    return Model(c3)
+
+
+def surprisals(counts: np.ndarray) -> np.ndarray:
+    """(K, K, K) bits of a class after two others; interpolated with bigrams and a uniform share."""
+    c3 = counts.reshape(K, K, K)
     c2, c1 = c3.sum(0), c3.sum((0, 1))
     p1 = (c1 + 1) / (c1.sum() + K)
     p2 = (c2 + 8 * p1) / (c2.sum(-1, keepdims=True) + 8)
-    p3 = (c3 + 8 * p2) / (c3.sum(-1, keepdims=True) + 8)
-    return -np.log2(p3).ravel()
+    return -np.log2((c3 + 8 * p2) / (c3.sum(-1, keepdims=True) + 8))
+
+
+def named_by_prose(counts: np.ndarray) -> str:
+    """Indicators, and the shapes of links that prose names."""
+    c1 = counts.reshape(K, K, K).sum((0, 1))
+    bits = -np.log2((c1 + 1) / (c1.sum() + K))
+    return "i" + "".join(c for c in LINKS if bits[INDEX[c]] <= NAMED)
+
+
+class Model:
+    """Trigram model of prose: perplexity of passages, and how much of each speaks against its page."""
 
+    def __init__(self, counts: np.ndarray):
+        self.bits, self.named = surprisals(counts).ravel(), named_by_prose(counts)
+        self.run = re.compile(f"[{self.named}](?:[^{JUDGED}{self.named}]*[{self.named}](?::n)?)+")
+        self.free = np.array([c in self.named for c in _COUNTED])
 
-def _score(seqs: list[str], bits: np.ndarray) -> np.ndarray:
-    if not seqs:
-        return np.zeros(0)
-    tri, n = _codes(seqs)
-    return np.add.reduceat(bits[tri], np.cumsum(n) - n) / n
+    def score(self, seqs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(bits per token, whether there is enough to judge) of each class string, lists of named addresses read as one."""
+        seqs = [self.run.sub("i", s) for s in seqs]
+        if not seqs:
+            return np.zeros(0), np.zeros(0, bool)
+        tri, n = _codes(seqs)
+        enough = np.fromiter((sum(map(s.count, JUDGED)) >= LEAST for s in seqs), bool, len(seqs))
+        return np.add.reduceat(self.bits[tri], np.cumsum(n) - n) / n, enough
 
 
-def spam_pages(df: DataFrame, low: float = 0.001, high: float = 0.98, share: float = 0.5) -> DataFrame:
-    """(doc_id) of the pages that are mostly repeated keywords, links or tags.
+def spam_pages(df: DataFrame, low: float = 0.0001, high: float = 0.999, share: float = 0.5) -> DataFrame:
+    """(doc_id) of the pages whose perplexity is abnormal for the larger part of their text.
 
-    ``low`` and ``high`` are the quantiles of the surprisal of prose passages
-    outside which a passage is suspect; ``share`` is the part of the page's
-    characters (without white space) that must lie in such passages.  A null,
-    empty or blank text is no such page; equal texts fare alike.
+    ``low`` and ``high`` are the quantiles of the surprisal of prose outside
+    which a passage is abnormal; ``share`` is the part of the page's characters
+    (without white space) that must lie in such passages, addresses that prose
+    names left out.  A null, empty or blank text is no such page; equal texts
+    fare alike.
     """
     rows = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and trim(text) <> '' and doc_id is not null")
     cut = materialize(rows.mapInArrow(_cut, PASSAGES), "passages")
-    bits = cut.sparkSession.sparkContext.broadcast(train(cut))
+    model = cut.sparkSession.sparkContext.broadcast(train(cut))
 
     def score(batches):
         for b in batches:
-            s = _score(b.column("seq").to_pylist(), bits.value)
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in (0, 2, 3, 5, 6)] + [pa.array(s)], names=["doc_id", "size", "total", "bad", "prose", "bits"])
+            m = model.value
+            bits, enough = m.score(b.column("seq").to_pylist())
+            chars = b.column("chars").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(_COUNTED))
+            mass = b.column("size").to_numpy(zero_copy_only=False) - chars[:, m.free].sum(1)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("total"), b.column("prose"), pa.array(np.maximum(mass, 0), pa.int64()), pa.array(bits), pa.array(enough)], names=["doc_id", "total", "prose", "mass", "bits", "enough"])
 
-    scored = cut.mapInArrow(score, "doc_id bigint, size int, total int, bad boolean, prose boolean, bits double")
+    scored = cut.mapInArrow(score, "doc_id bigint, total int, prose boolean, mass bigint, bits double, enough boolean").where("enough")
     cuts = scored.where("prose").select(F.percentile_approx("bits", F.array(F.lit(low), F.lit(high)), 10000)).collect()[0][0] or [0.0, 0.0]
-    suspect = scored.where("bad").where((F.col("bits") < cuts[0]) | (F.col("bits") > cuts[1]))
-    return suspect.groupBy("doc_id").agg(F.sum("size").alias("s"), F.max("total").alias("t")).where(F.col("s") > share * F.col("t")).select("doc_id")
+    odd = scored.where((F.col("bits") < cuts[0]) | (F.col("bits") > cuts[1]))
+    return odd.groupBy("doc_id").agg(F.sum("mass").alias("s"), F.max("total").alias("t")).where(F.col("s") > share * F.col("t")).select("doc_id")
