@@ -71,6 +71,27 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
+class Places:
+    """Where each rank of a length goes: plan rows (pack, length, first rank, per container, first container), searched in two steps."""
+
+    def __init__(self, rows: list[tuple[int, int, int, int, int]]):
+        pack, size, self.rank, self.per, self.first = np.array(sorted(rows), np.int64).reshape(-1, 5).T.copy()
+        self.lengths = np.unique(self._length(pack, size))
+        self.start = self._key(pack, size, self.rank)
+
+    @staticmethod
+    def _length(pack, size):
+        return (pack << 48) | size
+
+    def _key(self, pack, size, rank):
+        # Less than 2^23 packs and lengths, less than 2^40 items of one.
+        return (np.searchsorted(self.lengths, self._length(pack, size)) << 40) | rank
+
+    def container(self, pack: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.start, self._key(pack, size, rank), "right") - 1
+        return self.first[at] + (rank - self.rank[at]) // self.per[at]
+
+
 def pack(sizes: DataFrame, packs: dict[str, int]) -> DataFrame:
     """Put items (doc_id, n) into containers of every capacity of ``packs``.
 
@@ -96,12 +117,12 @@ def pack(sizes: DataFrame, packs: dict[str, int]) -> DataFrame:
     rows = []
     for i, k in enumerate(names):
         for s, rank, per, first, times in plan({r["len"]: r["count"] for r in hist if r["p"] == i}, packs[k]):
-            rows.append(((i << 56) | (s << 40) | rank, rank, per, first))
-    rows.sort()
-    table = spark.sparkContext.broadcast(np.array(rows or [(0, 0, 1, 0)], np.int64).T.copy())
+            rows.append((i, s, rank, per, first))
+    table = spark.sparkContext.broadcast(Places(rows))
 
     shard = F.pmod(F.xxhash64("doc_id", "part"), F.lit(shards)).cast("int")
-    items = items.withColumn("s", shard)
+    empty = items.where("len = 0").select(F.element_at(F.array(*map(F.lit, names)), F.col("p") + 1).alias("pack_name"), F.lit(0).cast("bigint").alias("container_id"), "doc_id", "part", F.col("start").alias("start_token"), F.col("len").alias("n_tokens"))
+    items = items.where("len > 0").withColumn("s", shard)
     within = Window.partitionBy("p", "len", "s").orderBy("doc_id", "part")
     ranked = items.withColumn("r", F.row_number().over(within) - 1)
     if shards > 1:
@@ -110,15 +131,12 @@ def pack(sizes: DataFrame, packs: dict[str, int]) -> DataFrame:
         ranked = ranked.join(before, ["p", "len", "s"]).withColumn("r", F.col("r") + F.col("off"))
 
     def place(batches):
-        start, rank, per, first = table.value
         for b in batches:
             p, size, r = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 4, 5))
-            at = np.maximum(np.searchsorted(start, (p << 56) | (size << 40) | r, "right") - 1, 0)
-            c = np.where(size > 0, first[at] + (r - rank[at]) // per[at], 0)
             label = pa.array(np.array(names, object)[p], pa.string())
-            yield pa.RecordBatch.from_arrays([label, pa.array(c), b.column(0), b.column(2), b.column(3), b.column(4)], names=[x.split()[0] for x in out.split(", ")])
+            yield pa.RecordBatch.from_arrays([label, pa.array(table.value.container(p, size, r)), b.column(0), b.column(2), b.column(3), b.column(4)], names=[x.split()[0] for x in out.split(", ")])
 
-    return ranked.select("doc_id", F.col("p").cast("bigint"), "part", "start", "len", F.col("r").cast("bigint")).mapInArrow(place, out)
+    return ranked.select("doc_id", F.col("p").cast("bigint"), "part", "start", "len", F.col("r").cast("bigint")).mapInArrow(place, out).unionByName(empty)
 
 
 def pack_texts(docs: DataFrame, pack_sizes: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
