@@ -116,9 +116,9 @@ def _fold_one(ch: str) -> int:
 
 # ---- named fields -------------------------------------------------------
 
-# Names begin at a boundary and are of bounded length, so a long text is scanned once.
-_QUOTED = re.compile(r"""(?<![^\s="',;{}|&])([^\s="',;{}|&]{1,200})\s{0,20}=\s{0,20}("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')""")
-_COLON_QUOTED = re.compile(r"""["']?(?<!\w)(\w[\w .\-]{0,200}?)["']?\s{0,20}:\s{0,20}("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^,'"{}\n]+)\s{0,20}(?:,|\}|$)""")
+# Names begin at a boundary and are taken whole, so a long text is scanned once.
+_QUOTED = re.compile(r"""(?<![^\s="',;{}|&])([^\s="',;{}|&]++)\s*+=\s*+("(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+')""")
+_COLON_QUOTED = re.compile(r"""(?:^|(?<=[{,\n"']))\s*+["']?(\w[\w .\-]*+)["']?\s*+:\s*+("(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|[^,'"{}\n]++)\s*+(?:,|\}|$)""")
 
 
 def _unquote(v: str) -> str:
@@ -173,28 +173,38 @@ def _entry(kind: str, value: str):
     return fields_of(value) if _type_key(kind) in FIELD_TYPES else None
 
 
-def same_record(kind: str, a: str, b: str) -> bool:
-    """Exact comparison of two values of one type."""
-    if a == b:
-        return True
-    x, y = _entry(kind, a), _entry(kind, b)
+def _entries(kinds: list[str], values: list[str]) -> list[list[tuple[str, str]] | None]:
+    """The distinct fields of each value in the order of their hashes, None for a value without fields; one batch of hashes for all."""
+    found = [_entry(k, v) for k, v in zip(kinds, values)]
+    hashes = iter(poly_hashes([x for fs in found if fs is not None for f in fs for x in f])[0].tolist())
+    out: list = []
+    for fs in found:
+        if fs is None:
+            out.append(None)
+            continue
+        kept: list[tuple[str, str]] = []
+        for _, _, name, value in sorted((next(hashes), next(hashes), *f) for f in fs):
+            if not kept or not (same_folded(kept[-1][0], name) and same_folded(kept[-1][1], value)):
+                kept.append((name, value))
+        out.append(kept)
+    return out
+
+
+def _same(a: str, b: str, x, y) -> bool:
     if x is None or y is None:
         return x is y and same_folded(a, b)
-    order = lambda fs: sorted(fs, key=lambda f: (_hash1(f[0]), _hash1(f[1])))
+    return len(x) == len(y) and all(same_folded(p[0], q[0]) and same_folded(p[1], q[1]) for p, q in zip(x, y))
 
-    def distinct(fs):
-        out = []
-        for f in order(fs):
-            if not out or not (same_folded(out[-1][0], f[0]) and same_folded(out[-1][1], f[1])):
-                out.append(f)
-        return out
 
-    x, y = distinct(x), distinct(y)
-    return len(x) == len(y) and all(same_folded(p[0], q[0]) and same_folded(p[1], q[1]) for p, q in zip(x, y))
+def same_records(kinds: list[str], a: list[str], b: list[str]) -> list[bool]:
+    """Exact comparison of pairs of values of one type, by two pointers."""
+    x, y = _entries(kinds, a), _entries(kinds, b)
+    return [p == q or _same(p, q, m, n) for p, q, m, n in zip(a, b, x, y)]
 
 
-def _hash1(s: str) -> int:
-    return int(poly_hashes([s])[0][0])
+def same_record(kind: str, a: str, b: str) -> bool:
+    """:func:`same_records` of one pair."""
+    return same_records([kind], [a], [b])[0]
 
 
 def digest(kind: str, value: str) -> str:
@@ -248,10 +258,16 @@ def _hash_batches(batches):
 def _verify_batches(batches):
     for b in batches:
         k, v, rk, rv = (b.column(i).to_pylist() for i in (2, 3, 4, 5))
-        ok = [_type_key(a) == _type_key(c) and same_record(a, x, y) for a, x, c, y in zip(k, v, rk, rv)]
+        ok = [_type_key(a) == _type_key(c) and same for a, c, same in zip(k, rk, same_records(k, v, rv))]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(6), pa.array(ok, pa.bool_())], names=["h", "first_id", "copy_id", "ok"])
 
 
+def _digest_batches(batches):
+    for b in batches:
+        d = list(map(digest, b.column(2).to_pylist(), b.column(3).to_pylist()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.string())], names=["id", "h", "d"])
+
+
 def hashed_records(df: DataFrame) -> DataFrame:
     """(id, h, kind, value) of the records that can have copies, from (id, kind, value)."""
     rows = df.select(F.col("id").cast("bigint").alias("id"), F.col("kind").cast("string").alias("kind"), F.col("value").cast("string").alias("value"))
@@ -278,8 +294,7 @@ def hidden_copies(df: DataFrame) -> DataFrame:
         return good.select("first_id", "copy_id")
     # Different records of one hash: settle those groups by digest.
     mixed = found.where("not ok").select("h").distinct()
-    exact_digest = F.udf(digest, "string")
-    exact = rows.join(mixed, "h", "left_semi").withColumn("d", exact_digest("kind", "value"))
+    exact = rows.join(mixed, "h", "left_semi").select("id", "h", "kind", "value").mapInArrow(_digest_batches, "id bigint, h bigint, d string")
     firsts = exact.groupBy("h", "d").agg(F.min("id").alias("first_id"))
     exact = exact.join(firsts, ["h", "d"]).where("id <> first_id").select("first_id", F.col("id").alias("copy_id")).distinct()
     return good.join(mixed, "h", "left_anti").select("first_id", "copy_id").unionByName(exact)
