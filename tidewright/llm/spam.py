@@ -69,15 +69,16 @@ _RECORD = re.compile(
     )""",
     re.X,
 )
+_RECORD_BEGINS = frozenset('0123456789[]{}">*-')
 _TABLE_END = re.compile(r"[,;|\t]\s*\d{4}-\d\d-\d\d[T ]\d\d:\d\d$")
 
 
 def _is_record(line: str) -> bool:
     """A line of a log, transcript or dump, or a row of a table that ends in a time."""
-    if _RECORD.match(line):
+    if line.lstrip()[:1] in _RECORD_BEGINS and _RECORD.match(line):
         return True
     end = line[-64:].rstrip()
-    return bool(_TABLE_END.search(end)) and sum(map(line.count, ",;|\t")) >= 3
+    return end[-1:].isdigit() and bool(_TABLE_END.search(end)) and sum(map(line.count, ",;|\t")) >= 3
 
 
 def _is_sentence(text: str) -> bool:
@@ -89,9 +90,9 @@ _TERMINAL = re.compile(r"[.!?。！？…][\"'”»)\]]*$")
 _TOKEN = re.compile(
     r"""<[^<>\n]*>
       | (?:https?|hxxps?)://(?:[^\s<>"')\]|,;\[]|\[\.\])+
-      | [\w.+-]+@[\w.\[\]-]+
+      | [\w.+-]++@[\w.\[\]-]+
       | \d{1,3}(?:\[?\.\]?\d{1,3}){3}(?![\w.])
-      | (?:www\.)?\w[\w-]*(?:\[?\.\]?\w[\w-]*)*\[?\.\]?[A-Za-z]{2,}(?:/[^\s<>"')\]|,;]*)?(?![\w])
+      | (?=[\w-]++\[?\.)(?:www\.)?\w[\w-]*(?:\[?\.\]?\w[\w-]*)*\[?\.\]?[A-Za-z]{2,}(?:/[^\s<>"')\]|,;]*)?(?![\w])
       | tag:\S+ | [#＃][^\W_][\w]*
       | [぀-ヿ㐀-鿿가-힯]
       | [^\W぀-ヿ㐀-鿿가-힯]+(?:['’]\w+)*
@@ -118,6 +119,11 @@ def shape(address: str) -> str:
 
 def _learn(tok: str) -> tuple[str, str | None]:
     """(class, folded word if it is a content word) of a token."""
+    if tok.isalpha() and not _CJK.match(tok):
+        low = tok.lower()
+        if low in FUNCTION_WORDS:
+            return "f", None
+        return ("C" if tok[0].isupper() and (len(tok) == 1 or not tok.isupper()) else "c"), low
     if tok[0] == "<" and len(tok) > 1:
         m = _HREF.search(tok)
         return (shape(m[1]) if m else "h"), None
@@ -172,9 +178,9 @@ _AGAIN = {"c": "r", "C": "R", "z": "y"}
 _COUNTED = {c: i for i, c in enumerate("i" + LINKS)}
 
 
-def describe(passage: str) -> tuple[str, list[int]]:
-    """Class string, and characters of indicators and of each shape of link."""
-    get, out, seen, chars = _KNOWN.get, [], set(), [0] * len(_COUNTED)
+def describe(passage: str) -> tuple[str, list[int], int, int]:
+    """Class string, characters of indicators and of each shape of link, content words, repeated ones."""
+    get, out, seen, chars, words = _KNOWN.get, [], set(), [0] * len(_COUNTED), 0
     for tok in _TOKEN.findall(passage):
         k = get(tok)
         if k is None:
@@ -183,6 +189,7 @@ def describe(passage: str) -> tuple[str, list[int]]:
             k = _KNOWN[tok] = _learn(tok)
         c, w = k
         if w is not None:
+            words += 1
             if w in seen:
                 c = _AGAIN[c]
             else:
@@ -190,7 +197,7 @@ def describe(passage: str) -> tuple[str, list[int]]:
         elif c in _COUNTED:
             chars[_COUNTED[c]] += len(tok)
         out.append(c)
-    return "".join(out), chars
+    return "".join(out), chars, words, words - len(seen)
 
 
 PASSAGES = "doc_id bigint, size int, total int, seq string, chars array<int>, prose boolean"
@@ -200,9 +207,8 @@ def judge(text: str) -> list[tuple[str, list[int], int, bool]]:
     """(class string, characters of indicators and links, size, prose by form) of each passage of a page."""
     out = []
     for p in passages(unicodedata.normalize("NFC", text)):
-        seq, chars = describe(p)
-        again = sum(map(seq.count, "rRy"))
-        prose = len(seq) >= LEAST and again <= REPEATED * (again + sum(map(seq.count, "cCz"))) and _is_sentence(p)
+        seq, chars, words, again = describe(p)
+        prose = len(seq) >= LEAST and again <= REPEATED * words and _is_sentence(p)
         out.append((seq, chars, sum(map(len, p.split())), prose))
     return out
 
@@ -274,6 +280,7 @@ class Model:
         self.bits, self.named = surprisals(counts).ravel(), named_by_prose(counts)
         self.run = re.compile(f"[{self.named}](?:[^{JUDGED}{self.named}]*[{self.named}](?::n)?)+")
         self.free = np.array([c in self.named for c in _COUNTED])
+        self.judged = np.array([c in JUDGED for c in CLASSES], np.int64)
 
     def score(self, seqs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(bits per token, whether there is enough to judge) of each class string, lists of named addresses read as one."""
@@ -281,8 +288,8 @@ class Model:
         if not seqs:
             return np.zeros(0), np.zeros(0, bool)
         tri, n = _codes(seqs)
-        enough = np.fromiter((sum(map(s.count, JUDGED)) >= LEAST for s in seqs), bool, len(seqs))
-        return np.add.reduceat(self.bits[tri], np.cumsum(n) - n) / n, enough
+        at = np.cumsum(n) - n
+        return np.add.reduceat(self.bits[tri], at) / n, np.add.reduceat(self.judged[tri % K], at) >= LEAST
 
 
 def spam_pages(df: DataFrame, low: float = 0.0001, high: float = 0.999, share: float = 0.5) -> DataFrame:
