@@ -20,13 +20,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct child object once: (object_id, body, n)."""
+    """Every distinct object of the records once: (object_id, body, n)."""
     return nested.objects(table(prepare(spark), sf_dir, "data_records"))
 
 
 def p3_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parent-child bridge rows with ordinals and object identities."""
-    return nested.occurrences(table(prepare(spark), sf_dir, "data_records"), promote=())
+    """Parent-child bridge rows of every object, with ordinals and object identities."""
+    return nested.occurrences(table(prepare(spark), sf_dir, "data_records"), keys=None, promote=())
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
