@@ -103,6 +103,15 @@ def test_changes_against_a_fold(spark):
     for part in (feed[:200], feed[200:350], feed[150:], feed[:50]):
         t.apply(spark.createDataFrame(part, FEED))
     assert {tuple(r) for r in t.state().collect()} == want and t.version() == 4
+    t.vacuum()
+    assert {tuple(r) for r in t.state().collect()} == want and t.version() == 4 and "manifest-3.json" not in t.files.names(t.path)
+    try:
+        t.files.commit(f"{t.path}/manifest-4.json", "{}")
+    except RuntimeError:
+        assert t.manifest() and not any(n.endswith(".tmp") for n in t.files.names(t.path))
+    else:
+        raise AssertionError("a committed manifest was replaced")
+    assert {tuple(r) for r in changes.current_state(df, loads=3).collect()} == want
 
 
 def test_changes_edges(spark):

@@ -8,7 +8,7 @@ files of untouched buckets are carried over by name.
 
 Two kinds of files lie in a bucket: the ledger of the events seen, each once at
 its lowest ``feed_seq``, and the entities they leave.  Loads may therefore come
-late, out of order or twice, equal timestamps included.  An entity is there if
+late, out of order or twice, equal timestamps included (``p2_merged`` does so).  An entity is there if
 the last of its creates and deletes is a create; its fields are that create's,
 overlaid by the latest update of each field after it.  No group is folded event
 by event: every step is an aggregate with map-side combine, so an entity with
@@ -99,8 +99,10 @@ class _Files:
 
     def __init__(self, spark: SparkSession, root: str):
         jvm = spark.sparkContext._jvm
+        self._jvm, self._conf = jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._none = lambda how: spark.sparkContext._gateway.new_array(how, 0)
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._path(root).getFileSystem(self._conf)
         self._io = jvm.org.apache.commons.io.IOUtils
 
     def names(self, path: str) -> list[str]:
@@ -122,14 +124,24 @@ class _Files:
             s.write(bytearray(text.encode()))
         finally:
             s.close()
-        if not self._fs.rename(self._path(tmp), self._path(path)):
-            raise RuntimeError(f"another writer committed {path}")
+        jvm, target = self._jvm, self._path(path)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self._conf) if target.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._conf)
+        how = jvm.org.apache.hadoop.fs.Options.Rename
+        try:  # a rename that never replaces what another writer committed
+            context.rename(self._path(tmp), target, self._none(how))
+        except Exception as e:
+            self._fs.delete(self._path(tmp), False)
+            raise RuntimeError(f"another writer committed {path}") from e
+
+    def remove(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
 
 
 class CowTable:
     """An entity table kept as bucket files and manifests below ``path``."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 256):
+        """``buckets`` stays for the life of a table; a bucket that grows is kept in more files."""
         self.spark, self.path, self.buckets = spark, path or scratch(spark, "cow"), buckets
         self.files = _Files(spark, self.path)
         self._listed: dict[str, set[str]] = {}
@@ -155,7 +167,8 @@ class CowTable:
         return self._listed[path]
 
     def _write(self, df: DataFrame, path: str, *order: str) -> None:
-        rows = df.withColumn("bucket", self._bucket()).repartition("bucket", F.pmod(F.xxhash64(*order), F.lit(4)))
+        # Balanced by size at run time: small buckets share a task, one with a hot entity is split over as many as it needs.
+        rows = df.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
         rows.sortWithinPartitions("bucket", *order).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
 
     def apply(self, feed: DataFrame) -> "CowTable":
@@ -174,15 +187,48 @@ class CowTable:
         self.files.commit(f"{self.path}/manifest-{version}.json", json.dumps({"version": version, "buckets": old | new}))
         return self
 
+    def vacuum(self) -> None:
+        """Remove what no reader of the current version needs: older manifests and files it doesn't name."""
+        keep = set(self.manifest().values())
+        current = f"manifest-{self.version()}.json"
+        for n in self.files.names(self.path):
+            if n.startswith("data-") and f"{self.path}/{n}" not in keep or n.startswith("manifest-") and n != current:
+                self.files.remove(f"{self.path}/{n}")
+
     def state(self) -> DataFrame:
         """(entity_id, field_name, field_value): one row per field that isn't null of each existing entity."""
         return self._read("state", STATE, self.manifest())
 
 
-def current_state(feed: DataFrame, buckets: int = 64) -> DataFrame:
+#: Bytes of a feed per bucket of its table, and the bounds of their number.
+BUCKET_BYTES, FEWEST, MOST = 128 << 20, 16, 1 << 14
+
+
+def buckets_for(feed: DataFrame) -> int:
+    """Buckets for a table of the size of ``feed``, by the planner's estimate: a power of two."""
+    size = int(str(feed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size if size < 1 << 60 else 0  # the planner knows nothing
+    return max(FEWEST, min(MOST, 1 << (size // BUCKET_BYTES).bit_length()))
+
+
+def current_state(feed: DataFrame, buckets: int | None = None, loads: int = 1) -> DataFrame:
     """The state after all changes of ``feed``, through a fresh :class:`CowTable`.
 
+    With more ``loads`` than one the feed comes in parts by its order of
+    arrival, each part repeating half of the one before, and every part but the
+    first is merged into the touched buckets of the table; the state is the same.
+
     Null or unreadable ``changes`` change nothing; an empty feed gives no rows;
     columns beyond those named in :func:`normalize_feed` are ignored.
     """
-    return CowTable(feed.sparkSession, buckets=buckets).apply(feed).state()
+    t = CowTable(feed.sparkSession, buckets=buckets or buckets_for(feed))
+    if loads == 1:
+        return t.apply(feed).state()
+    first, last = feed.agg(F.min("feed_seq"), F.max("feed_seq")).first()
+    if first is None:
+        return t.apply(feed).state()
+    step = (last - first) / loads
+    for i in range(loads):
+        begin, end = first + (i - 0.5) * step, first + (i + 1) * step
+        t.apply(feed.where((F.col("feed_seq") >= begin) & (F.col("feed_seq") <= (end if i + 1 < loads else last))))
+    return t.state()

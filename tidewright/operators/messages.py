@@ -4,8 +4,9 @@ Storage is log-structured.  An *upsert* turns a batch of deliveries into
 sorted runs: every input split is sorted by (bucket, identifier, order) and
 written with equal identifiers already collapsed onto the first of them, so a
 run holds at most one survivor per identifier however hot it is.  A
-*compaction* routes the survivors by bucket, merges the sorted runs and
-collapses equal identifiers across runs.  Loading the same batch again
+*compaction* routes the survivors by bucket and sorts them by (bucket,
+identifier, order), which merges the runs of a bucket, and collapses equal
+identifiers across runs as they stream by, one row in memory at a time.  Loading the same batch again
 overwrites the same runs, and a copy of a delivery collapses onto itself.
 
 Skew: an identifier that holds a third of all rows is cut down to one
@@ -16,10 +17,12 @@ split.
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 import pyarrow.compute as pc
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
@@ -41,8 +44,8 @@ def uuid_key(col: Column) -> Column:
 
 
 def _collapse(batches):
-    """Neighbours of equal identifier in a sorted run get the first one's number."""
-    last_key = last_first = None
+    """Neighbours of equal identifier in sorted rows get the first one's number; the same delivery again is dropped."""
+    last_key = last_first = last_order = None
     for b in batches:
         if not b.num_rows:
             continue
@@ -50,14 +53,18 @@ def _collapse(batches):
         new = np.ones(len(order), bool)
         if len(order) > 1:
             new[1:] = pc.not_equal(key.slice(1), key.slice(0, len(order) - 1)).to_numpy(zero_copy_only=False)
-        head = key[0].as_py()
+        again = np.zeros(len(order), bool)
+        again[1:] = ~new[1:] & (order[1:] == order[:-1])
         starts = np.flatnonzero(new)
         first = np.repeat(order[starts], np.diff(np.append(starts, len(order))))
-        if head == last_key:
-            end = starts[1] if len(starts) > 1 else len(order)
-            first[:end] = last_first
-        last_key, last_first = key[len(order) - 1].as_py(), int(first[-1])
-        yield pa.RecordBatch.from_arrays([b.column("b"), key, b.column("o"), pa.array(first)], names=["b", "k", "o", "f"])
+        if key[0].as_py() == last_key:
+            first[: starts[1] if len(starts) > 1 else len(order)] = last_first
+            again[0] = order[0] == last_order
+        last_key, last_first, last_order = key[len(order) - 1].as_py(), int(first[-1]), int(order[-1])
+        yield pa.RecordBatch.from_arrays([b.column("b"), key, b.column("o"), pa.array(first)], names=["b", "k", "o", "f"]).filter(pa.array(~again))
+
+
+RUN = "b int, k string, o bigint, f bigint"
 
 
 class MessageStore:
@@ -72,26 +79,31 @@ class MessageStore:
         rows = df.select(uuid_key(F.col(id_col)).alias("k"), F.col(order_col).cast("bigint").alias("o"))
         rows = rows.where(F.col("k").isNotNull() & F.col("o").isNotNull())
         rows = rows.select(F.pmod(F.xxhash64("k"), F.lit(self.buckets)).cast("int").alias("b"), "k", "o")
-        runs = rows.sortWithinPartitions("b", "k", "o").mapInArrow(_collapse, "b int, k string, o bigint, f bigint")
+        runs = rows.sortWithinPartitions("b", "k", "o").mapInArrow(_collapse, RUN)
         runs.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{batch}")
         if batch not in self.batches:
             self.batches.append(batch)
         return self
 
     def _runs(self) -> DataFrame:
-        return self.spark.read.schema("b int, k string, o bigint, f bigint").parquet(*[f"{self.path}/{b}" for b in self.batches])
+        return self.spark.read.schema(RUN).parquet(*[f"{self.path}/{b}" for b in self.batches])
 
-    def merged(self) -> DataFrame:
-        """Compaction: (k, f, kept) of every run's survivors, kept being the lowest over all runs."""
-        heads = self._runs().where("o = f").select("k", "f").distinct() if len(self.batches) > 1 else self._runs().where("o = f").select("k", "f")
-        return heads.withColumn("kept", F.min("f").over(Window.partitionBy("k")))
+    def compact(self) -> DataFrame:
+        """(f, kept) of every run's survivors, kept being the lowest over all runs; written as one sorted run per task."""
+        heads = self._runs().where("o = f").select("b", "k", "o").repartition("b").sortWithinPartitions("b", "k", "o")
+        path = f"{self.path}/compacted-{uuid.uuid4().hex}"
+        heads.mapInArrow(_collapse, RUN).write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(RUN).parquet(path).select(F.col("o").alias("f"), F.col("f").alias("kept"))
 
     def copies(self) -> DataFrame:
         """(kept_id, copy_id) of every delivery that is not the first of its identifier."""
-        heads = self.merged().where("f <> kept").select("f", "kept")
-        inside = self._runs().where("o <> f").select("f", "o").distinct() if len(self.batches) > 1 else self._runs().where("o <> f").select("f", "o")
+        heads = self.compact().where("f <> kept")
+        inside = self._runs().where("o <> f").select("f", "o")
+        if len(self.batches) > 1:  # the same delivery may lie in several batches, under several survivors
+            inside = inside.groupBy("o").agg(F.min("f").alias("f"))
         inside = inside.join(heads, "f", "left").select(F.coalesce("kept", "f").alias("kept_id"), F.col("o").alias("copy_id"))
-        return heads.select(F.col("kept").alias("kept_id"), F.col("f").alias("copy_id")).unionByName(inside).where("kept_id <> copy_id")
+        out = heads.select(F.col("kept").alias("kept_id"), F.col("f").alias("copy_id")).unionByName(inside).where("kept_id <> copy_id")
+        return out.distinct() if len(self.batches) > 1 else out
 
 
 def message_copies(df: DataFrame, id_col: str = "event_id", order_col: str = "delivery_id") -> DataFrame:

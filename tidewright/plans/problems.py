@@ -14,6 +14,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.current_state(table(prepare(spark), sf_dir, "entity_changes"))
 
 
+def p2_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of :func:`p2_found`, the feed coming in three loads that overlap: later ones are merged into the touched buckets."""
+    return changes.current_state(table(prepare(spark), sf_dir, "entity_changes"), loads=3)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flattened child objects: (record_id, parent_path, child_path, lat)."""
     return nested.occurrences(spread(table(prepare(spark), sf_dir, "data_records").select("id", "data"))).select("record_id", "parent_path", "child_path", "lat")
@@ -75,7 +80,7 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.column_profile(table(spark, sf_dir, "ingestion_jobs"), "ingestion_jobs").unionByName(profile.column_profile(table(spark, sf_dir, "data_records"), "data_records"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_unified": p4_unified, "p5_found": p5_found, "p5_profile": p5_profile, "p2_found": p2_found, "p3_found": p3_found, "p3_objects": p3_objects, "p3_bridge": p3_bridge, "p6_found": p6_found}
+QUERIES = {"p4_found": p4_found, "p4_unified": p4_unified, "p5_found": p5_found, "p5_profile": p5_profile, "p2_found": p2_found, "p2_merged": p2_merged, "p3_found": p3_found, "p3_objects": p3_objects, "p3_bridge": p3_bridge, "p6_found": p6_found}
 
 _P2_VALUE = "CASE WHEN json_type(j) = 'OBJECT' AND json_exists(j, '$.old') AND json_exists(j, '$.new') THEN j->>'$.new' ELSE j->>'$' END"
 SQL = {
@@ -93,3 +98,4 @@ SQL = {
         c AS (SELECT d, min(d) OVER (PARTITION BY k) AS m FROM b WHERE k IS NOT NULL)
         SELECT m AS kept_id, d AS copy_id FROM c WHERE d <> m""",
 }
+SQL["p2_merged"] = SQL["p2_found"]
