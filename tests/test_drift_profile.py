@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 
+from tidewright.functions import jsontext as J
 from tidewright.operators import drift, profile
 from tidewright.operators.drift import Node, assign, edit_script, meaning_cost, parse_fields, words_of
 from tidewright.operators.fieldstats import bin_of, describe, form_of
@@ -36,7 +37,31 @@ def test_nested_script_and_projection():
     new = [_n("a", "json", "", [_n("x2", "int", "left edge")]), _n("b", "json", "", [_n("y", "int", "Up"), _n("k", "str", "Key")])]
     s = edit_script(old, new, meaning_cost)[1]
     assert ("renamed", "a.x", "x2") in s and ("moved", "a.k", "b.k") in s and len(s) == 2
-    assert drift.compile_script([("renamed", "old", "new"), ("added", "z", "")], ["new", "z", "same"]) == {"new": "old", "z": "z", "same": "same"}
+    p = drift.compile_script([*s, ("retyped", "n", ""), ("renamed", "old", "new"), ("added", "z", "")], {"n": "int"})
+    assert p.read({"a": {"x2": 1}, "b": {"y": 2, "k": "v"}, "n": "07", "new": 3, "z": 4}) == {"a": {"x": 1, "k": "v"}, "b": {"y": 2}, "n": "07", "old": 3, "z": 4}
+    assert p.read({"a": 5, "b": None, "n": [1]}) == {"a": 5, "b": None, "n": [1]} and p.read({}) == {}
+
+
+def test_swapped_names_are_found():
+    old = [_n("from_port", "str", "Harbour of departure"), _n("to_port", "str", "Next call")]
+    new = [_n("from_port", "str", "next call"), _n("to_port", "str", "harbour of departure")]
+    assert sorted(edit_script(old, new, meaning_cost)[1]) == [("renamed", "from_port", "to_port"), ("renamed", "to_port", "from_port")]
+
+
+def test_scripts_are_cheapest():
+    """Against all ways to match the fields."""
+    rng = random.Random(7)
+    texts = ["Case number", "Risk points", "Network owner", "Harbour call", ""]
+    for _ in range(60):
+        old, new = ([_n(n, rng.choice(["str", "int"]), rng.choice(texts)) for n in rng.sample("abcdef", rng.randrange(5))] for _ in "xy")
+        pair = lambda a, b: drift._same_name(a, b) if a.name == b.name else meaning_cost(a, b)
+        best = min(sum(c if (c := pair(a, new[j])) < 2 else 2 for a, j in zip(old, p) if j < len(new)) + sum(j >= len(new) for j in p) + len(set(range(len(new))) - set(p)) for p in itertools.permutations(range(len(new) + len(old)), len(old)))
+        assert abs(edit_script(old, new, meaning_cost)[0] - best) < 1e-9
+
+
+def test_casts():
+    n = J.Num
+    assert [drift.cast(v, k) for v, k in [("5", "int"), (n("5"), "str"), ("yes", "bool"), ("maybe", "bool"), (n("1735689600"), "datetime"), ({"value": "u"}, "str"), ("x", "int"), (None, "int")]] == ["5", "5", True, "maybe", "2025-01-01T00:00:00Z", "u", "x", None]
 
 
 def test_parse_fields():

@@ -2,11 +2,12 @@
 
 A layout is a tree of fields.  ``edit_script`` finds the cheapest script of
 adds, deletes, renames, moves and changes of type that turns one tree into the
-other: siblings are matched by a minimum-cost assignment whose entries are the
-edit distances of the subtrees, so order is no change.  A rename costs by how
+other: siblings, equal names included, are matched by a minimum-cost assignment whose
+entries are the edit distances of the subtrees, so order is no change.  A rename costs by how
 little two fields agree in meaning; two fields known to differ can't be
 matched.  ``compile_script`` turns a script into the projection that reads a
-file of the new layout under the old names.
+file of the new layout as one of the old: renamed and moved fields under their
+old paths, retyped ones cast.
 
 Declared schemas give meaning by description.  For the records of a load it
 comes from what is known about names over all loads: what a name was declared
@@ -16,11 +17,13 @@ values they hold.
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsontext as J
@@ -114,55 +117,70 @@ def assign(cost: list[list[float]]) -> list[int]:
 
 
 def edit_script(old: list[Node], new: list[Node], cost, path: str = "") -> tuple[float, list[tuple[str, str, str]]]:
-    """(distance, [(change, old name, new name)]) between two lists of sibling trees; names below the top are dotted paths."""
-    same = {n.name: n for n in new}
-    total, script, out_old, out_new = 0.0, [], [], []
-    taken = set()
-    for a in old:
-        b = same.get(a.name)
-        if b is None:
-            out_old.append(a)
-            continue
-        taken.add(a.name)
-        if a.kind != b.kind:
-            total += 0.5
-            script.append(("retyped", path + a.name, ""))
-        d, s = edit_script(a.children, b.children, cost, f"{path}{a.name}.")
-        total, script = total + d, script + s
-    out_new = [b for b in new if b.name not in taken]
-    n, m = len(out_old), len(out_new)
-    if n + m:
-        # Square matrix: matches, deletions on one side, additions on the other.
-        grid = [[0.0] * (n + m) for _ in range(n + m)]
-        below = {}
-        for i, a in enumerate(out_old):
-            for j, b in enumerate(out_new):
-                c = cost(a, b)
-                if c < DELETE + ADD:
-                    below[i, j] = edit_script(a.children, b.children, cost, f"{path}{a.name}.")
-                    c += below[i, j][0]
-                grid[i][j] = c
-            for j in range(m, m + n):
-                grid[i][j] = DELETE * a.size() if j - m == i else NEVER
-        for i in range(n, n + m):
-            for j in range(m):
-                grid[i][j] = ADD * out_new[j].size() if i - n == j else NEVER
-        done = set()
-        for i, j in enumerate(assign(grid)[:n]):
-            total += grid[i][j]
-            if j < m:
-                done.add(j)
-                script.append(("renamed", path + out_old[i].name, out_new[j].name))
-                script += below[i, j][1]
-            else:
-                script.append(("removed", path + out_old[i].name, ""))
-        for j in range(m):
-            if j not in done:
-                total += grid[n + j][j]
-                script.append(("added", path + out_new[j].name, ""))
+    """(distance, [(change, old name, new name)]) between two lists of sibling trees; names below the top are dotted paths.
+
+    Every pair that costs less than a deletion and an addition is a candidate,
+    pairs of equal name among them; candidates that hang together are assigned
+    at least cost, so the script is a cheapest one.
+    """
+    pairs: dict[tuple[int, int], tuple[float, list]] = {}
+    for i, a in enumerate(old):
+        for j, b in enumerate(new):
+            c = _same_name(a, b) if a.name == b.name else cost(a, b)
+            if c < DELETE + ADD:
+                d, below = edit_script(a.children, b.children, cost, f"{path}{a.name}.") if a.children or b.children else (0.0, [])
+                step = [("renamed", path + a.name, b.name)] if a.name != b.name else [("retyped", path + a.name, "")] if a.kind != b.kind else []
+                pairs[i, j] = (c + d, step + below)
+    total, script, matched_old, matched_new = 0.0, [], set(), set()
+    for rows, cols in _components(pairs):
+        grid = [[pairs[i, j][0] if (i, j) in pairs else NEVER for j in cols] + [DELETE * old[i].size() if k == i else NEVER for k in rows] for i in rows]
+        grid += [[ADD * new[j].size() if k == j else NEVER for k in cols] + [0.0] * len(rows) for j in cols]
+        for i, at in zip(rows, assign(grid) if len(grid) > 2 else [0 if grid[0][0] <= grid[0][1] + grid[1][0] else 1]):
+            if at < len(cols):
+                d, steps = pairs[i, cols[at]]
+                total, script = total + d, script + steps
+                matched_old.add(i)
+                matched_new.add(cols[at])
+    for i, a in enumerate(old):
+        if i not in matched_old:
+            total += DELETE * a.size()
+            script.append(("removed", path + a.name, ""))
+    for j, b in enumerate(new):
+        if j not in matched_new:
+            total += ADD * b.size()
+            script.append(("added", path + b.name, ""))
     return total, _moves(script)
 
 
+def _same_name(a: Node, b: Node) -> float:
+    """Cost of keeping a name: little, but more than nothing if its meaning has gone elsewhere."""
+    off = 1 - len(a.meaning & b.meaning) / len(a.meaning | b.meaning) if a.meaning and b.meaning else 0.0
+    return 0.3 * off + (0.5 if a.kind != b.kind else 0.0)
+
+
+def _components(pairs) -> list[tuple[list[int], list[int]]]:
+    """Rows and columns that hang together through candidate pairs."""
+    of_row: dict[int, set[int]] = {}
+    of_col: dict[int, set[int]] = {}
+    for i, j in pairs:
+        of_row.setdefault(i, set()).add(j)
+        of_col.setdefault(j, set()).add(i)
+    out, seen = [], set()
+    for start in of_row:
+        if start in seen:
+            continue
+        rows, cols, todo = {start}, set(), [start]
+        while todo:
+            for j in of_row[todo.pop()] - cols:
+                cols.add(j)
+                more = of_col[j] - rows
+                rows |= more
+                todo += more
+        seen |= rows
+        out.append((sorted(rows), sorted(cols)))
+    return out
+
+
 def _moves(script):
     """A field deleted in one place and added under the same name in another has moved."""
     gone = {s[1].rsplit(".", 1)[-1]: s for s in script if s[0] == "removed" and "." in s[1]}
@@ -384,28 +402,94 @@ def load_changes(records: DataFrame, schemas: DataFrame, id_of_schema: str = "sc
     return layouts.mapInArrow(run, "scope_id string, " + CHANGE)
 
 
-def compile_script(script: list[tuple[str, str, str]], names: list[str]) -> dict[str, str]:
-    """Name in the file -> name in the consistent table, for every field of a file (added ones keep their name)."""
-    back = {new: old for change, old, new in script if change == "renamed"}
-    return {n: back.get(n, n) for n in names}
+#: Words that stand for a boolean.
+_TRUE, _FALSE = frozenset(("true", "yes", "1", "y", "t")), frozenset(("false", "no", "0", "n", "f"))
+
 
+def cast(v, kind: str):
+    """A value of another JSON type as the declared ``kind``, or as it is where it can't be read so."""
+    if isinstance(v, dict) and len(v) == 1:  # a value in a wrapper of one name
+        v = next(iter(v.values()))
+    if v is None or isinstance(v, (dict, list)):
+        return v
+    text = J.scalar(v)
+    if kind == "str":
+        return text
+    if kind in ("int", "float"):
+        return J.Num(text.strip()) if re.fullmatch(r"\s*-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?\s*", text) else v
+    if kind == "bool":
+        low = text.strip().lower()
+        return True if low in _TRUE else False if low in _FALSE else v
+    if kind == "datetime" and type(v) is J.Num and re.fullmatch(r"\d{9,10}", text):
+        return dt.datetime.fromtimestamp(int(text), dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return v
 
-def rename_map(changes: DataFrame) -> DataFrame:
-    """(scope_id, renames): per layout a map from its own names to the older ones."""
-    return changes.where("change_kind = 'renamed'").groupBy("scope_id").agg(F.map_from_entries(F.collect_list(F.struct("new_name", "field_name"))).alias("renames"))
 
+class Projection:
+    """A script, compiled: how a record of the later layout is read under the earlier one.
 
-def chain_renames(schemas: DataFrame, changes: DataFrame) -> dict[str, dict[str, str]]:
-    """Schema id -> {its name of a field: the first name it had in its workspace}; the tables of schemas don't grow."""
-    step: dict[str, dict[str, str]] = {}
-    for r in changes.where("change_kind = 'renamed'").collect():
-        step.setdefault(r[0], {})[r[3]] = r[2]
-    out: dict[str, dict[str, str]] = {}
-    last: dict[tuple, dict[str, str]] = {}
+    Renames and moves go back to the old path, retyped fields are cast to the
+    declared kind; added fields keep their name, removed ones stay absent.
+    """
+
+    def __init__(self, script: list[tuple[str, str, str]], kinds: dict[str, str] | None = None):
+        self.names: dict[str, str] = {}
+        self.casts: dict[str, str] = {}
+        self.paths: list[tuple[list[str], list[str]]] = []
+        for change, old, new in script:
+            above = old.rsplit(".", 1)[0] + "." if "." in old else ""
+            if change == "renamed" and not above:
+                self.names[new] = old
+            elif change == "renamed":
+                self.paths.append(((above + new).split("."), old.split(".")))
+            elif change == "moved":
+                self.paths.append((new.split("."), old.split(".")))
+            elif change == "retyped" and kinds and old in kinds:
+                self.casts[old] = kinds[old]
+
+    def read(self, record: dict) -> dict:
+        out = {self.names.get(k, k): v for k, v in record.items()}
+        for source, target in self.paths:
+            self._move(out, [self.names.get(source[0], source[0]), *source[1:]], target)
+        for name, kind in self.casts.items():
+            if name in out:
+                out[name] = cast(out[name], kind)
+        return out
+
+    @staticmethod
+    def _move(out: dict, source: list[str], target: list[str]) -> None:
+        at = out
+        for k in source[:-1]:
+            at = at.get(k)
+            if not isinstance(at, dict):
+                return
+        if source[-1] in at:
+            v, to = at.pop(source[-1]), out
+            for k in target[:-1]:
+                to = to.setdefault(k, {})
+                if not isinstance(to, dict):
+                    return
+            to[target[-1]] = v
+
+
+def compile_script(script: list[tuple[str, str, str]], kinds: dict[str, str] | None = None) -> Projection:
+    """The projection of a script; ``kinds`` are the declared types of the earlier layout."""
+    return Projection(script, kinds)
+
+
+def scripts_of(changes: DataFrame) -> DataFrame:
+    """(scope_id, script): the steps that a projection needs, a row per layout; as long as the layout is wide."""
+    return changes.where("change_kind in ('renamed', 'retyped', 'moved')").groupBy("scope_id").agg(F.collect_list(F.struct("change_kind", "field_name", "new_name")).alias("script"))
+
+
+def chains(schemas: DataFrame, changes: DataFrame) -> dict[str, list[Projection]]:
+    """Schema id -> projections from its layout back to the first of its workspace and name; the tables of schemas don't grow."""
+    step = {r[0]: [tuple(x) for x in r[1]] for r in scripts_of(changes).collect()}
+    out: dict[str, list[Projection]] = {}
+    last: dict[tuple, list[Projection]] = {}
     for r in schemas.select("workspace_id", "name", "version", "id").orderBy("workspace_id", "name", "version", "id").collect():
-        prev = last.get((r[0], r[1]), {})
-        own = {new: prev.get(old, old) for new, old in step.get(r[3], {}).items()}
-        out[r[3]] = last[r[0], r[1]] = {**{k: v for k, v in prev.items() if k not in own}, **own}
+        own = [p] if (p := Projection([x for x in step.get(r[3], []) if x[0] != "retyped"])).names or p.paths else []
+        out[r[3]] = last[r[0], r[1]] = own + last.get((r[0], r[1]), [])
     return out
 
 
@@ -413,37 +497,44 @@ def unified(records: DataFrame, schemas: DataFrame, id_of_schema: str = "schema_
     """(record_id, job_id, scope, fields): all readable records under one name per field.
 
     ``fields`` maps the first name a field had in its workspace to the value as
-    text; the scripts of the load and of the schema versions are applied to
-    every record as projections.  Unreadable records give no row.
+    text, cast to the declared type where the load had another; the scripts of
+    the load and of the schema versions are compiled into projections that
+    every record passes through.  Unreadable records give no row.
     """
+    versions = version_changes(schemas)
     if changes is None:
-        changes = version_changes(schemas).unionByName(load_changes(records, schemas, id_of_schema))
-    chains = chain_renames(schemas, version_changes(schemas))
+        changes = load_changes(records, schemas, id_of_schema)
+    back = chains(schemas, versions)
     spark = records.sparkSession
-    scopes = {r[0]: r[1] for r in schemas.select("id", "name").collect()}
-    facts = spark.sparkContext.broadcast((scopes, chains))
+    scopes, kinds = {}, {}
+    for r in schemas.select("id", "name", "fields").collect():
+        scopes[r[0]], kinds[r[0]] = r[1], {n.name: n.kind for n in parse_fields(r[2]) or []}
+    facts = spark.sparkContext.broadcast((scopes, kinds, back))
     rows = records.select("id", "job", F.col(id_of_schema).alias("sid"), "data").where("data is not null")
-    renames = rename_map(changes).withColumnRenamed("scope_id", "job")
-    rows = rows.join(renames, "job", "left").select("id", "job", "sid", "data", F.map_entries("renames").alias("ren"))
+    rows = rows.join(scripts_of(changes).withColumnRenamed("scope_id", "job"), "job", "left").select("id", "job", "sid", "data", "script")
     kind = "array<struct<key:string,value:string>>"
 
     def run(batches):
+        scopes, kinds, back = facts.value
+        known: dict[tuple, list[Projection]] = {}
         for b in batches:
-            scopes, chains = facts.value
             out = [[] for _ in range(4)]
-            for rid, job, sid, text, ren in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for rid, job, sid, text, script in zip(*(b.column(i).to_pylist() for i in range(5))):
                 d = J.read(text)
                 if not isinstance(d, dict):
                     continue
-                back = {x["key"]: x["value"] for x in ren or []}
-                chain = chains.get(sid, {})
-                got = {}
-                for k, v in d.items():
-                    name = back.get(k, k)
-                    got[chain.get(name, name)] = J.scalar(v)
-                for c, x in zip(out, (rid, job, scopes.get(sid), list(got.items()))):
+                steps = known.get((job, sid))
+                if steps is None:
+                    own = compile_script([(x["change_kind"], x["field_name"], x["new_name"]) for x in script or []], kinds.get(sid))
+                    steps = known[job, sid] = [own, *back.get(sid, [])]
+                for p in steps:
+                    d = p.read(d)
+                for c, x in zip(out, (rid, job, scopes.get(sid), [(k, J.scalar(v)) for k, v in d.items()])):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out[:3]] + [pa.array([[{"key": k, "value": v} for k, v in x] for x in out[3]], pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())])))], names=["record_id", "job_id", "scope", "entries"])
+            entries = [x for e in out[3] for x in e]
+            ends = np.cumsum([0, *map(len, out[3])], dtype=np.int32)
+            pairs = pa.StructArray.from_arrays([J.strings([x[0] for x in entries]), J.strings([x[1] for x in entries])], names=["key", "value"])
+            yield pa.RecordBatch.from_arrays([J.strings(c) for c in out[:3]] + [pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["record_id", "job_id", "scope", "entries"])
 
     made = rows.mapInArrow(run, f"record_id string, job_id string, scope string, entries {kind}")
     return made.select("record_id", "job_id", "scope", F.map_from_entries("entries").alias("fields"))
