@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Paths that are not audited, and the action of each method. (fixed values)
@@ -37,8 +37,21 @@ def action(method: Column) -> Column:
     return F.coalesce(m[F.upper(method)], F.lit("read"))
 
 
-def client_ip(forwarded: Column, peer: Column) -> Column:
-    return F.coalesce(F.nullif(F.trim(F.get(F.split(forwarded, ","), F.lit(0))), F.lit("")), peer)
+def client_ip(forwarded: Column, peer: Column, real: Column | None = None) -> Column:
+    """First forwarded address, else the one a proxy vouches for, else the peer, else ``unknown``."""
+    first = F.nullif(F.trim(F.get(F.split(forwarded, ","), F.lit(0))), F.lit(""))
+    return F.coalesce(first, *([F.nullif(real, F.lit(""))] if real is not None else []), peer, F.lit("unknown"))
+
+
+def counters(requests: DataFrame, *labels: str) -> DataFrame:
+    """(labels..., n): how often each combination of labels was counted."""
+    return requests.groupBy(*labels).agg(F.count("*").alias("n"))
+
+
+def gauge(changes: DataFrame, at: str, delta: str, size: str = "HOUR") -> DataFrame:
+    """(at, value): a gauge at the end of each hour in which it moved, from its ups and downs; one row per hour is added up."""
+    steps = changes.groupBy(F.date_trunc(size, at).alias("at")).agg(F.sum(delta).alias("d"))
+    return steps.select("at", F.sum("d").over(Window.orderBy("at")).alias("value"))
 
 
 def is_ip(q: Column) -> Column:

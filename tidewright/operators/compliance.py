@@ -4,16 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Levels of ancestry that lineage follows at most.
-MAX_DEPTH = 64
-
+from ..session import materialize
 
 def canonical(fields: dict[str, Column]) -> Column:
     """One text for a row: names in order, values as text, null apart from empty; the ground of checksums."""
@@ -47,18 +44,20 @@ def integrity(log: DataFrame, fields: list[str]) -> DataFrame:
     return v.agg(F.count("*").alias("total"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"), F.coalesce(F.bool_and("valid"), F.lit(True)).alias("verified"))
 
 
-def export_checksum(log: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
-    """One row (n, export_checksum): a hash of the sorted row checksums, in two levels so no task holds the log.
+def export_checksum(log: DataFrame, key: str) -> DataFrame:
+    """One row (n, export_checksum): a hash of all row checksums and keys, in any order of the rows.
 
-    Rows are dealt to buckets by the first three hex digits of their checksum;
-    each bucket hashes its own in order of checksum and key, and the export's
-    hash is that of the bucket hashes in order.
+    A tree of hashes: equal rows are counted first, so none is a list of its
+    own; leaves are dealt to 16^6 nodes by the digits of their own hash, which
+    are even however skewed the log is, and each node hashes at most 4096
+    nodes below it, in order.
     """
-    b = log.select(F.col("checksum").alias("c"), F.col(key).cast("string").alias("k"))
-    # Within a bucket again by the fourth digit and on, to keep lists short.
-    fine = b.groupBy(F.substring("c", 1, 3).alias("b"), F.substring("c", 4, 2).alias("s")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "k"))), lambda x: F.concat(x["c"], F.lit(":"), x["k"])), "\n"), 256).alias("h"))
-    coarse = fine.groupBy("b").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "h"))), lambda x: x["h"]), "\n"), 256).alias("h"))
-    return coarse.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("export_checksum"))
+    rows = log.groupBy(F.col("checksum").alias("c"), F.col(key).cast("string").alias("k")).agg(F.count("*").alias("n"))
+    level = rows.select("n", F.sha2(F.concat_ws(":", F.coalesce("c", F.lit("")), F.coalesce("k", F.lit("")), F.col("n").cast("string")), 256).alias("h")).select("n", "h", F.col("h").alias("at"))
+    for digits in (6, 3, 0):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), "\n")
+        level = level.groupBy(F.substring("at", 1, digits).alias("at")).agg(F.sum("n").alias("n"), F.sha2(joined, 256).alias("h"))
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.first("h"), F.sha2(F.lit(""), 256)).alias("export_checksum"))
 
 
 def by_action(log: DataFrame) -> DataFrame:
@@ -112,20 +111,22 @@ def track(record_id: Column, source_type: Column, parent: Column) -> list[Column
     return [F.sha2(F.concat_ws("|", record_id, source_type, parent), 256).alias("id"), record_id.alias("record_id"), source_type.alias("source_type"), parent.alias("parent_record_id")]
 
 
-def ancestors(lineage: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(record_id, ancestor_id, depth) of every record; a cycle ends where it closes.
+def ancestors(lineage: DataFrame) -> DataFrame:
+    """(record_id, ancestor_id, depth) of every record, however deep; a cycle ends where it closes, no record is its own ancestor.
 
-    A recursive query over (record_id, parent_record_id): each level is one
-    shuffle join of the frontier with the edges.
+    Paths double from step to step: those of exactly d edges are joined with
+    all of up to d, so a chain of n levels takes log n joins; of several ways
+    to an ancestor the shortest counts.
     """
-    spark = lineage.sparkSession
-    view = "lineage_" + uuid.uuid4().hex
-    lineage.select(F.col("record_id").cast("string").alias("r"), F.col("parent_record_id").cast("string").alias("p")).where("r is not null and p is not null").distinct().createOrReplaceTempView(view)
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(f"""
-        WITH RECURSIVE up(record_id, ancestor_id, depth, path) AS (
-            SELECT r, p, 1, array(r, p) FROM {view} WHERE r <> p
-            UNION ALL
-            SELECT u.record_id, e.p, u.depth + 1, array_append(u.path, e.p) FROM up u JOIN {view} e ON u.ancestor_id = e.r
-            WHERE u.depth < {int(max_depth)} AND NOT array_contains(u.path, e.p))
-        SELECT record_id, ancestor_id, min(depth) AS depth FROM up GROUP BY record_id, ancestor_id""")
+    edge = lineage.select(F.col("record_id").cast("string").alias("record_id"), F.col("parent_record_id").cast("string").alias("ancestor_id"), F.lit(1).alias("depth"))
+    known = materialize(edge.where("record_id is not null and ancestor_id is not null and record_id <> ancestor_id").distinct(), "ancestors")
+    reach = 1
+    while True:
+        ends = known.where(F.col("depth") == reach).select("record_id", F.col("ancestor_id").alias("mid"))
+        more = ends.join(known.select(F.col("record_id").alias("mid"), "ancestor_id", "depth"), "mid").where("record_id <> ancestor_id")
+        more = more.select("record_id", "ancestor_id", (F.col("depth") + reach).alias("depth"))
+        grown = materialize(known.unionByName(more).groupBy("record_id", "ancestor_id").agg(F.min("depth").alias("depth")), "ancestors")
+        reach *= 2
+        known = grown
+        if known.where(F.col("depth") == reach).isEmpty():
+            return known

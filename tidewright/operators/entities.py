@@ -79,14 +79,19 @@ def deduplicate(entities: DataFrame, order: Column, by: tuple[str, ...] = ("enti
     third of all rows is combined in the tasks first.
     """
     have = set(entities.columns) - set(by)
+    order, mention = order.alias("_order"), F.count("*")
+    if "tags" in have:  # one row per tag, so that what a group collects is its tags and not every list of them
+        entities = entities.select("*", order, F.posexplode_outer("tags").alias("_at", "_tag"))
+        order, mention = F.col("_order"), F.count_if(F.col("_at").isNull() | (F.col("_at") == 0))
     aggs = [F.min_by(c, order).alias(c) for c in ("value", "source", "source_record_id", "first_seen", "threat_level") if c in have]
     aggs += [F.max(c).alias(c) for c in ("confidence", "last_seen") if c in have]
     if "tags" in have:
-        aggs.append(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"))
-    out = entities.groupBy(*by).agg(*aggs, F.count("*").alias("n_mentions"))
+        aggs.append(F.array_sort(F.collect_set("_tag")).alias("tags"))
+    out = entities.groupBy(*by).agg(*aggs, mention.alias("n_mentions"))
     if "metadata" in have:
         # The last value of each key, so a group is as long as its keys are many.
-        e = entities.select(*by, order.alias("_o"), F.explode("metadata").alias("_k", "_v"))
+        once = entities.where(F.col("_at").isNull() | (F.col("_at") == 0)) if "tags" in have else entities
+        e = once.select(*by, order.alias("_o"), F.explode("metadata").alias("_k", "_v"))
         m = e.groupBy(*by, "_k").agg(F.max_by("_v", "_o").alias("_v")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("metadata"))
         out = out.join(m, list(by), "left").withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
     return out

@@ -12,11 +12,68 @@ from ..session import materialize
 
 #: Node labels and relationship types. (fixed values)
 LABELS = (
-    "Person Organization Email Domain IPAddress Phone URL Username SocialMedia Cryptocurrency Address Country City Hash File Malware CVE BankAccount CreditCard Document Credential ThreatActor Campaign Indicator Entity"
-).split()
+    "Person",
+    "Organization",
+    "Email",
+    "Domain",
+    "IPAddress",
+    "Phone",
+    "URL",
+    "Username",
+    "SocialMedia",
+    "Cryptocurrency",
+    "Address",
+    "Country",
+    "City",
+    "Hash",
+    "File",
+    "Malware",
+    "CVE",
+    "BankAccount",
+    "CreditCard",
+    "Document",
+    "Credential",
+    "ThreatActor",
+    "Campaign",
+    "Indicator",
+    "Entity",
+)
 RELATIONS = (
-    "USES_EMAIL USES_PHONE USES_USERNAME HAS_SOCIAL_MEDIA WORKS_AT MEMBER_OF LEADS OWNS OWNS_DOMAIN REGISTERED_TO HOSTED_ON RESOLVES_TO SENT_FROM SENT_TO COMMUNICATED_WITH LOCATED_IN RESIDES_AT OPERATES_IN IMPERSONATES TARGETS ATTRIBUTED_TO ASSOCIATED_WITH PART_OF CONTAINS EXTRACTED_FROM CONNECTS_TO DERIVED_FROM OWNS_ACCOUNT TRANSACTED_WITH PAID_TO RECEIVED_FROM RELATED_TO SAME_AS SIMILAR_TO"
-).split()
+    "USES_EMAIL",
+    "USES_PHONE",
+    "USES_USERNAME",
+    "HAS_SOCIAL_MEDIA",
+    "WORKS_AT",
+    "MEMBER_OF",
+    "LEADS",
+    "OWNS",
+    "OWNS_DOMAIN",
+    "REGISTERED_TO",
+    "HOSTED_ON",
+    "RESOLVES_TO",
+    "SENT_FROM",
+    "SENT_TO",
+    "COMMUNICATED_WITH",
+    "LOCATED_IN",
+    "RESIDES_AT",
+    "OPERATES_IN",
+    "IMPERSONATES",
+    "TARGETS",
+    "ATTRIBUTED_TO",
+    "ASSOCIATED_WITH",
+    "PART_OF",
+    "CONTAINS",
+    "EXTRACTED_FROM",
+    "CONNECTS_TO",
+    "DERIVED_FROM",
+    "OWNS_ACCOUNT",
+    "TRANSACTED_WITH",
+    "PAID_TO",
+    "RECEIVED_FROM",
+    "RELATED_TO",
+    "SAME_AS",
+    "SIMILAR_TO",
+)
 #: Label of an entity type in capitals; others are ``Entity``. (fixed values)
 TYPE_LABELS = {
     "EMAIL": "Email", "EMAIL_ADDRESS": "Email", "DOMAIN": "Domain", "DOMAIN_NAME": "Domain", "IP": "IPAddress", "IP_ADDRESS": "IPAddress", "IPADDRESS": "IPAddress", "IPV4": "IPAddress",
@@ -44,6 +101,33 @@ def properties(metadata: Column) -> Column:
     return F.transform_keys(F.map_filter(metadata, lambda k, v: v.isNotNull()), lambda k, v: F.concat(F.lit("meta_"), k))
 
 
+def upsert_normal(value: Column) -> Column:
+    """Normal form of a value that is upserted on its own: small letters, no blanks around."""
+    return F.trim(F.lower(value))
+
+
+def upsert_with_relations(nodes_: DataFrame, edges: DataFrame, new: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, report) after entities (id, entity_type, value, workspace_id) and their relations (src, dst[, type]).
+
+    A relation without a type is RELATED_TO and counts only if its target is
+    there.  The report has (entity_id, relationship_count) of each new entity.
+    """
+    n = new.select("id", label(F.col("entity_type")).alias("label"), "value", upsert_normal(F.col("value")).alias("normalized_value"), "workspace_id")
+    merged = upsert_nodes(nodes_, n)
+    kind = F.coalesce("type", F.lit("RELATED_TO")) if "type" in relations.columns else F.lit("RELATED_TO")
+    rel = relations.select("src", "dst", kind.alias("type")).join(new.select(F.col("id").alias("src")), "src", "left_semi")
+    kept = upsert_edges(edges.limit(0), rel, merged)
+    count = new.select(F.col("id").alias("entity_id")).join(kept.groupBy(F.col("src").alias("entity_id")).agg(F.count("*").alias("n")), "entity_id", "left")
+    return merged, upsert_edges(edges, rel, merged), count.select("entity_id", F.coalesce("n", F.lit(0)).alias("relationship_count"))
+
+
+def export_report(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (entities_exported, errors, relationships_created): an entity without id, type or value can't be exported."""
+    bad = F.col("id").isNull() | F.col("entity_type").isNull() | F.col("value").isNull()
+    n = entities.agg(F.count_if(~bad).alias("entities_exported"), F.count_if(bad).alias("errors"))
+    return n.join(F.broadcast(edges.agg(F.count("*").alias("relationships_created"))), F.lit(True))
+
+
 def nodes(entities: DataFrame, entity_id: Column) -> DataFrame:
     keep = [c for c in ("value", "normalized_value", "confidence", "threat_level", "source", "workspace_id", "tags") if c in entities.columns]
     extra = [properties(F.col("metadata")).alias("properties")] if "metadata" in entities.columns else []

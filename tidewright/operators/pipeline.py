@@ -36,6 +36,17 @@ def push(spark: SparkSession, rows: list[dict], workspace_id: str, schema_id: st
     return df.select(F.sha2(F.concat_ws("|", F.lit(workspace_id), F.lit(schema_id), F.col("n").cast("string"), "data"), 256).alias("id"), F.lit(workspace_id).alias("workspace_id"), F.lit(schema_id).alias("schema_id"), "data")
 
 
+def ingest_feed(result, workspace_id: str, job_id: str) -> tuple[DataFrame, DataFrame, Ingested]:
+    """(schema, job, ingested) of a connector's answer: a schema without fields, one job, and its rows as records through the pipeline."""
+    data, name = result.data, f"connector_{result.name}"
+    spark = data.sparkSession
+    text = F.to_json(F.struct(*[F.col(c) for c in data.columns]))
+    records = materialize(data.select(F.sha2(F.concat_ws("|", F.lit(job_id), text), 256).alias("id"), F.lit(workspace_id).alias("workspace_id"), text.alias("data")), "feed")
+    schema = spark.createDataFrame([(workspace_id, name, 1, "active", "[]")], "workspace_id string, name string, version int, status string, fields string")
+    job = records.agg(F.count("*").alias("records")).select(F.lit(job_id).alias("job_id"), F.lit("complete").alias("state"), F.lit(name).alias("schema_name"), "records")
+    return schema, job, ingest(records, label=f"connector:{result.name}:", job_id=job_id)
+
+
 def ingest(records: DataFrame, stored: DataFrame | None = None, label: str = "ingestion:", job_id: str = "job") -> Ingested:
     """Run the pipeline over records (id, workspace_id, data[, created_at]).
 
@@ -56,4 +67,4 @@ def ingest(records: DataFrame, stored: DataFrame | None = None, label: str = "in
     vec = with_id.select("id", E.point_id(F.col("id")).alias("point_id"), E.hash_embedding(E.embedding_text(F.col("entity_type"), F.col("value"), F.col("tags"))).alias("embedding"), "workspace_id", "entity_type")
     review = R.gate(with_id.withColumn("item_type", F.lit("entity")).select("id", "workspace_id", "item_type", "confidence"))
     done = records.agg(F.count("*").alias("n"), F.max(at).alias("at")).select(*V.event("ingestion.complete", F.sha2(F.lit(job_id), 256), F.col("at"), F.lit("tidewright"), file_id=F.lit(job_id), record_count=F.col("n")))
-    return Ingested(records, merged, G.nodes(with_id, F.col("id")), G.cooccurrence(with_id), vec, review, done)
+    return Ingested(records, merged, G.nodes(with_id, F.col("id")), G.linked(with_id), vec, review, done)

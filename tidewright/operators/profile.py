@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from ..sources.paths import locate
 from .fieldstats import TOP, column_chunks
 
 #: Share of its values from which a form or word belongs to a field; of a load's values from which the load shares it.
@@ -54,14 +55,9 @@ FOOTER = "file string, row_group int, column string, rows bigint, nulls bigint,
 def _open(path: str, **options):
     """A parquet file by path or URI, on the file system the URI names."""
     import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    if "://" in path:
-        system, path = fs.FileSystem.from_uri(path)
-        return pq.ParquetFile(path, filesystem=system, **options)
-    return pq.ParquetFile(path, **options)
+
+    system, at = locate(path)
+    return pq.ParquetFile(at, filesystem=system, **options)
 
 
 def _text(v) -> str | None:

@@ -23,11 +23,11 @@ def threshold(item_type: Column) -> Column:
     return out
 
 
-def gate(items: DataFrame, confidence: str = "confidence", item_type: str = "item_type", thresholds: DataFrame | None = None) -> DataFrame:
+def gate(items: DataFrame, confidence: str = "confidence", item_type: str = "item_type", thresholds: DataFrame | None = None, file_name: Column | None = None) -> DataFrame:
     """Items below the gate with priority, threshold and reason; a null confidence isn't uncertain.
 
     ``thresholds`` (workspace_id, item_type, threshold) overrides the built-in
-    ones for its workspaces.
+    ones for its workspaces.  The reason names the file of the ingest if given.
     """
     c = F.col(confidence)
     low = items.where(c < GATE)
@@ -36,7 +36,10 @@ def gate(items: DataFrame, confidence: str = "confidence", item_type: str = "ite
         t = thresholds.select("workspace_id", F.col("item_type").alias(item_type), F.col("threshold").alias("_t"))
         low = low.join(t, ["workspace_id", item_type], "left")
         base = F.coalesce("_t", base)
-    out = low.withColumns({"priority": priority(c), "threshold": base, "reason": F.format_string("Low confidence (%.2f)", c), "status": F.lit("pending")})
+    reason = F.format_string("Low confidence (%.2f)", c)
+    if file_name is not None:
+        reason = F.concat(reason, F.lit(" during ingestion of "), F.coalesce(file_name, F.lit("")))
+    out = low.withColumns({"priority": priority(c), "threshold": base, "reason": reason, "status": F.lit("pending")})
     return out.drop("_t")
 
 
@@ -46,6 +49,11 @@ def current_status(items: DataFrame, decisions: DataFrame, key: str = "item_id")
     return items.join(last, key, "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
 
 
+def assign(decisions: DataFrame, assignments: DataFrame, key: str = "item_id") -> DataFrame:
+    """Decisions with assignments (item_id, assignee, decided_at, seq) among them: an item is in review from then on."""
+    return decisions.unionByName(assignments.select(key, F.lit("in_review").alias("status"), "decided_at", "seq"))
+
+
 def stats(items: DataFrame) -> DataFrame:
     """(status, n) of all five statuses, zero where none, and 'total'."""
     domain = items.sparkSession.createDataFrame([(s,) for s in STATUSES], "status string")

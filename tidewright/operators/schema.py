@@ -119,6 +119,18 @@ def create(schemas: DataFrame, new: DataFrame) -> DataFrame:
     return n.select(F.sha2(F.concat_ws("|", "workspace_id", "name", F.col("version").cast("string"), "fields"), 256).alias("id"), "workspace_id", "name", "version", F.lit("draft").alias("status"), "fields")
 
 
+def delete(schemas: DataFrame, gone: DataFrame) -> DataFrame:
+    """Schemas without those of the ids in ``gone`` (id)."""
+    return schemas.join(gone.select("id").distinct(), "id", "left_anti").select(*schemas.columns)
+
+
+def from_inferred(schemas: DataFrame, profile: DataFrame, workspace_id: str, name: str) -> DataFrame:
+    """A draft after an inferred profile: its fields without default and description, as JSON by name; one row."""
+    field = F.struct("name", F.col("inferred_type").alias("field_type"), "nullable", F.lit(None).cast("string").alias("default"), F.lit(None).cast("string").alias("description"))
+    fields = F.to_json(F.array_sort(F.collect_list(field)), {"ignoreNullFields": "false"})
+    return create(schemas, profile.agg(F.lit(workspace_id).alias("workspace_id"), F.lit(name).alias("name"), fields.alias("fields")))
+
+
 def update_fields(schemas: DataFrame, changes: DataFrame) -> DataFrame:
     """Schemas after new fields for some ids (id, fields): the old row is deprecated and a new version follows it."""
     old = schemas.join(changes.select("id", F.col("fields").alias("_f")), "id", "left")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import read_plain
@@ -10,6 +12,16 @@ from ..sources.files import write_xlsx
 from . import records as R
 
 
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file, on whatever file system Spark uses."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    s = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        s.write(bytearray(content))
+    finally:
+        s.close()
+
+
 def load_records(records: DataFrame, path: str, *by: str) -> None:
     """Append records to a lake folder, partitioned by columns of few values."""
     records.write.mode("append").partitionBy(*by).parquet(path)
@@ -36,10 +48,14 @@ def flat(df: DataFrame, data: str = "data") -> DataFrame:
 
 
 def export(df: DataFrame, path: str, kind: str, data: str = "data") -> None:
-    """Write an export: json (lines), csv, parquet as folders, excel as one file of a capped, collected frame."""
+    """Write an export: json (lines), csv, parquet as folders; ``json array`` and excel as one file of a capped, collected frame."""
     rows = export_rows(df, cap=R.EXPORT_CAP if kind == "excel" else None)
     if kind == "json":
-        rows.select(data).write.mode("overwrite").text(path)
+        # Raw line breaks in JSON are layout; a record is one line.
+        rows.where(F.col(data).isNotNull()).select(F.regexp_replace(data, r"[\r\n]+", " ").alias(data)).write.mode("overwrite").text(path)
+    elif kind == "json array":
+        got = [d for d in (read_plain(r[0]) for r in export_rows(df).select(data).collect()) if d is not None]
+        write_file(df.sparkSession, path, json.dumps(got, ensure_ascii=False, indent=2).encode())
     elif kind == "csv":
         flat(rows, data).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
     elif kind == "parquet":
@@ -47,8 +63,7 @@ def export(df: DataFrame, path: str, kind: str, data: str = "data") -> None:
     elif kind == "excel":
         got = [d for d in (read_plain(r[0]) for r in rows.select(data).collect()) if isinstance(d, dict)]
         cols = sorted({k for d in got for k in d})
-        with open(path.removeprefix("file://"), "wb") as f:
-            f.write(write_xlsx(cols, [[("" if d.get(c) is None else str(d[c])) for c in cols] for d in got]))
+        write_file(df.sparkSession, path, write_xlsx(cols, [[("" if d.get(c) is None else str(d[c])) for c in cols] for d in got]))
     else:
         raise ValueError(f"unknown export format {kind!r}")
 

@@ -1,4 +1,4 @@
-"""Vectors: deterministic embeddings, exact and approximate cosine search."""
+"""Vectors: deterministic embeddings, exact cosine search, and an index of cells for approximate search."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from ..sources.paths import locate
+
 #: Components of an embedding, and the namespace of point ids. (fixed values)
 SIZE = 384
 NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
@@ -70,68 +73,158 @@ def top_k(df: DataFrame, query: list[float], k: int = 10, vector: str = "embeddi
     return df.withColumn("score", cosine(F.col(vector), q)).where("score is not null").orderBy(F.desc("score"), key).limit(k)
 
 
-#: Queries that travel together to the rows: with 1024 components four megabytes at most.
+#: Queries that are held against a task's rows at a time.
 BLOCK = 1024
+_FOUND = "query_id bigint, k bigint, score double"
+
+
+def _matrix(column: pa.Array, size: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors, which rows they are of): rows of another length than ``size``, or of none, are left out."""
+    lengths = np.diff(column.offsets.to_numpy())
+    fit = (lengths == (size or (lengths.max() if len(lengths) else 0))) & (lengths > 0)
+    x = column.filter(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(fit.sum()), -1)
+    norm = np.linalg.norm(x, axis=1) if len(x) else np.zeros(0)
+    keep = norm > 0
+    return x[keep] / norm[keep, None], np.flatnonzero(fit)[keep]
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best columns of each row of ``scores``; ties go to the lower id."""
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+    return ids[order], np.take_along_axis(scores, order, 1)
+
+
+def _result(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, ids.shape[1])), pa.array(ids.ravel()), pa.array(scores.ravel())], names=["query_id", "k", "score"])
+
+
+def _ranked(parts: DataFrame, k: int, key: str) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "k")
+    return parts.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k).select("query_id", F.col("k").alias(key), "score", "rank")
+
+
+def _plain(df: DataFrame, vector: str, key: str) -> DataFrame:
+    return df.select(F.col(key).cast("bigint").alias("i"), F.col(vector).cast("array<float>").alias("v")).where("i is not null and v is not null and size(v) > 0")
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(query_id, key, score, rank): the ``k`` nearest rows of each query vector, exact.
 
-    The stated queries are taken in blocks of fixed size; every task multiplies
-    its rows with a block and keeps its own best ``k`` per query, so what is
-    shuffled is bounded by queries and tasks.  A query finds itself if it is a row.
+    The queries are a table in the shared folder.  The rows are scanned once;
+    a task holds one Arrow batch of them, reads the queries block by block and
+    gives its best ``k`` per query, so nothing passes the driver and memory
+    doesn't grow with either side.  A query finds itself if it is a row.
+    Vectors of another length than the query, null or zero ones aren't found.
+    """
+    table = materialize(_plain(queries, vector, key), "queries")
+    files = table.inputFiles()
+
+    def run(batches):
+        import pyarrow.parquet as pq
+
+        for rows in batches:
+            for path in files:
+                system, at = locate(path)
+                for block in pq.ParquetFile(at, filesystem=system).iter_batches(BLOCK, columns=["i", "v"]):
+                    for size in np.unique(np.diff(block.column(1).offsets.to_numpy())):
+                        q, which = _matrix(block.column(1), int(size))
+                        x, own = _matrix(rows.column(1), int(size))
+                        if len(q) and len(x):
+                            ids = rows.column(0).to_numpy(zero_copy_only=False)[own]
+                            yield _result(block.column(0).to_numpy(zero_copy_only=False)[which], *_best(ids, q @ x.T, k))
+
+    return _ranked(_plain(df, vector, key).mapInArrow(run, _FOUND), k, key)
+
+
+#: Rows the centres of an index are fitted on at most, a random choice; every row is indexed.
+SAMPLE = 20_000
+#: Rows of one cell that a task holds at a time.
+SHARD = 20_000
+
+
+def fit_cells(df: DataFrame, cells: int = 64, vector: str = "embedding", key: str = "vec_id", sample: int = SAMPLE, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    """Unit centres of an index by spherical k-means on at most ``sample`` rows, those of the lowest hash."""
+    rows = _plain(df, vector, key).orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(sample).collect()
+    if not rows:
+        return np.zeros((0, 0))
+    size = max(len(r[1]) for r in rows)
+    x = np.array([r[1] for r in rows if len(r[1]) == size], np.float64)
+    x = x[np.linalg.norm(x, axis=1) > 0]
+    if not len(x):
+        return np.zeros((0, 0))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        at = np.argmax(x @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-300), centres)
+    return centres
+
+
+def _near(centres: np.ndarray, n: int):
+    """Cells of each vector of a batch: the ``n`` nearest ones."""
+
+    def run(batches):
+        for b in batches:
+            x, own = _matrix(b.column(1), centres.shape[1])
+            at = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n]
+            take = pa.array(np.repeat(own, at.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(at.ravel().astype(np.int32)), b.column(0).take(take), b.column(1).take(take)], names=["cell", "i", "v"])
+
+    return run
+
+
+def search_cells(df: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 10, probes: int = 8, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """As :func:`search`, looking only into the ``probes`` cells nearest to each query: approximate, the scores exact.
+
+    Every row is indexed, in the cell of its nearest centre.  A cell is cut
+    into shards of about ``SHARD`` rows by a hash of the key, so one that holds
+    a third of all rows is many tasks; its queries go to each of its shards.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("i"), F.col(vector).cast("array<float>").alias("v")).where("v is not null and size(v) > 0")
-    parts = None
-    block: list = []
-
-    def run_block(block):
-        ids = [r[0] for r in block]
-        mat = np.array([r[1] for r in block], np.float64)
-        mat /= np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
-        shipped = spark.sparkContext.broadcast((ids, mat))
-
-        def run(batches):
-            ids, m = shipped.value
-            best_s = np.zeros((len(ids), 0))
-            best_i = np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                size = np.diff(b.column(1).offsets.to_numpy())
-                fit = size == m.shape[1]
-                if not fit.all():
-                    b = b.filter(pa.array(fit))
-                    flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                if not b.num_rows:
-                    continue
-                x = flat.reshape(b.num_rows, m.shape[1])
-                norm = np.linalg.norm(x, axis=1)
-                s = np.where(norm > 0, (m @ x.T) / np.maximum(norm, 1e-300), -2.0)
-                i = np.broadcast_to(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), s.shape)
-                s, i = np.concatenate([best_s, s], 1), np.concatenate([best_i, i], 1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            if best_s.shape[1]:
-                q = np.repeat(np.array(ids, np.int64), best_s.shape[1])
-                keep = best_s.ravel() > -2
-                yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(best_i.ravel()[keep]), pa.array(best_s.ravel()[keep])], names=["query_id", "k", "score"])
-
-        return rows.mapInArrow(run, "query_id bigint, k bigint, score double")
-
-    for r in queries.select(F.col(key), F.col(vector)).where(F.col(vector).isNotNull()).toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            part = run_block(block)
-            parts, block = (part if parts is None else parts.unionByName(part)), []
-    if block or parts is None:
-        if block:
-            part = run_block(block)
-            parts = part if parts is None else parts.unionByName(part)
-        else:
-            parts = spark.createDataFrame([], "query_id bigint, k bigint, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "k")
-    return parts.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k).select("query_id", F.col("k").alias(key), "score", "rank")
+    if not centres.size:
+        return spark.createDataFrame([], f"query_id bigint, {key} bigint, score double, rank bigint")
+    schema = "cell int, i bigint, v array<float>"
+    rows = materialize(_plain(df, vector, key).mapInArrow(_near(centres, 1), schema), "cells")
+    # At most as many rows as centres.
+    shards = rows.groupBy("cell").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+    shards = F.broadcast(spark.createDataFrame(shards.collect(), "cell int, shards int"))
+    rows = rows.join(shards, "cell").select("cell", F.pmod(F.xxhash64("i"), F.col("shards")).cast("int").alias("shard"), "i", "v")
+    asked = _plain(queries, vector, key).mapInArrow(_near(centres, probes), schema).join(shards, "cell")
+    asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "i", "v")
+
+    def run(left, right):
+        x, own = _matrix(left.column("v").combine_chunks(), centres.shape[1])
+        ids = left.column("i").to_numpy()[own]
+        names = right.column("i").to_numpy()
+        parts = []
+        for start in range(0, right.num_rows, BLOCK):
+            q, which = _matrix(right.column("v").slice(start, BLOCK).combine_chunks(), centres.shape[1])
+            if len(q) and len(x):
+                parts.append(_result(names[start:][which], *_best(ids, q @ x.T, k)))
+        return pa.Table.from_batches(parts, pa.schema([("query_id", pa.int64()), ("k", pa.int64()), ("score", pa.float64())]))
+
+    found = rows.groupBy("cell", "shard").cogroup(asked.groupBy("cell", "shard")).applyInArrow(run, _FOUND)
+    return _ranked(found, k, key)
+
+
+def recall(exact: DataFrame, found: DataFrame, key: str = "vec_id") -> DataFrame:
+    """One row (queries, recall): the part of the exact neighbours that were found."""
+    hit = exact.select("query_id", key).join(found.select("query_id", key).withColumn("hit", F.lit(1)), ["query_id", key], "left")
+    return hit.agg(F.count_distinct("query_id").alias("queries"), F.coalesce(F.sum("hit") / F.count("*"), F.lit(1.0)).alias("recall"))
+
+
+def index_report(df: DataFrame, text: str = "text") -> DataFrame:
+    """One row (indexed, failed): a null or empty text can't be embedded."""
+    ok = F.coalesce(F.trim(text) != "", F.lit(False))
+    return df.agg(F.count_if(ok).alias("indexed"), F.count_if(~ok).alias("failed"))
+
+
+def delete(df: DataFrame, gone: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Points without those whose key is in ``gone``."""
+    return df.join(gone.select(key).distinct(), key, "left_anti").select(*df.columns)
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str = "vec_id", at: str = "indexed_at") -> DataFrame:

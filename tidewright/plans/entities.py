@@ -182,7 +182,15 @@ _HALF = """SELECT workspace_id, entity_type, normalized_value, arg_min(value, re
     max(confidence) AS confidence, list_sort(list_distinct(flatten(list(coalesce(tags, []))))) AS tags, min(received_at) FILTER (request_id = f) AS first_seen, max(received_at) AS last_seen, max(request_id) AS last
     FROM (SELECT *, min(request_id) OVER (PARTITION BY workspace_id, entity_type, normalized_value) AS f FROM req WHERE request_id % 2 = {k}) GROUP BY ALL"""
 
+#: Every string of every record with its path; a list within a list isn't entered.
+_WALK = """parsed AS (SELECT id, CASE WHEN json_valid(data) THEN CASE WHEN json_type(data) = 'VARCHAR' AND json_valid(data->>'$') THEN (data->>'$')::JSON ELSE data::JSON END END AS v FROM data_records),
+    walk AS (SELECT p.id, t.atom->>'$' AS text, replace(substr(t.fullkey, 3), '"', '') AS path FROM (SELECT * FROM parsed WHERE json_type(v) = 'OBJECT') p, json_tree(p.v) t WHERE t.type = 'VARCHAR' AND NOT contains(t.fullkey, ']['))"""
+
 SQL = {
+    "record_walk": f"WITH {_WALK} SELECT regexp_replace(path, '\\[\\d+\\]', '[]', 'g') AS path, count(*) AS n, count(DISTINCT id) AS records FROM walk GROUP BY ALL",
+    "record_entities": f"WITH {_WALK}, found AS (SELECT entity_type, value, " + _NORM + " AS normalized_value FROM ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS entity_type, unnest({_sql_matches(t)}) AS value FROM walk" for t in E.PATTERNS)
+    + ")) SELECT entity_type, count(*) AS n, count(DISTINCT normalized_value) AS entities FROM found GROUP BY ALL",
     "entity_threat_summary": f"WITH {_FIRST} SELECT entity_type, {_LEVEL.format(s=_VSCORE)} AS threat_level, count(*) AS n, sum(n_mentions)::BIGINT AS n_mentions FROM firsts GROUP BY ALL",
     **{f"extract_{'ip' if t == 'ip_address' else 'handle' if t == 'social_handle' else t}": f"SELECT doc_id, unnest({_sql_matches(t)}) AS value FROM documents" for t in E.PATTERNS},
     "extract_page_url": f"SELECT doc_id, unnest({_sql_matches('url', 'url')}) AS value FROM documents",

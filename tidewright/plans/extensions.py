@@ -15,16 +15,25 @@ def _t(spark, sf_dir, name):
     return table(prepare(spark), sf_dir, name)
 
 
-def asof(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: str, at: str, value: str, span: str = "day") -> DataFrame:
     """Each left row with the last ``value`` of the right at or before its ``at``, by key.
 
-    Both sides in one frame, one window per key and no join: a shuffle by key,
-    whatever the number of matches.  At equal times the right row counts.
+    No join of the two sides: both go into one frame, with one window per key
+    and ``span`` of time, so a key with a third of all rows is split; what a
+    span without a match needs of earlier ones is carried over by one row per
+    key and span.  At equal times the right row counts.
     """
     l = left.select(by, at, F.lit(1).alias("_s"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     r = right.select(by, at, F.lit(0).alias("_s"), F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), F.col(value).alias("_v"))
-    w = Window.partitionBy(by).orderBy(at, "_s").rowsBetween(Window.unboundedPreceding, 0)
-    return l.unionByName(r).withColumn("_a", F.last("_v", ignorenulls=True).over(w)).where("_s = 1").select("_l.*", F.col("_a").alias(value))
+    spans = r.where(F.col("_v").isNotNull()).groupBy(by, F.date_trunc(span, at).alias("_b")).agg(F.max_by("_v", at).alias("_p"))
+    both = l.unionByName(r).withColumn("_b", F.date_trunc(span, at))
+    ends = both.select(by, "_b").distinct().join(spans, [by, "_b"], "left")
+    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_c", F.last("_p", ignorenulls=True).over(before)).select(F.col(by).alias("_k"), F.col("_b").alias("_kb"), "_c")
+    w = Window.partitionBy(by, "_b").orderBy(at, "_s").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("_a", F.last("_v", ignorenulls=True).over(w)).where("_s = 1")
+    out = near.join(ends, F.col(by).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_kb")), "left")
+    return out.select("_l.*", F.coalesce("_a", "_c").alias(value))
 
 
 def z_hash_join(spark, sf_dir):
@@ -124,3 +133,5 @@ SQL = {
     "z_sliding": "SELECT start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts)::TIMESTAMP, date_trunc('hour', ts)::TIMESTAMP - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY ALL",
     "z_session": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, sid",
 }
+#: The windows of streams give what those of tables do.
+SQL |= {"stream_tumbling": SQL["z_tumbling"], "stream_sliding": SQL["z_sliding"], "stream_session": SQL["z_session"]}

@@ -45,7 +45,7 @@ def audit_summary(spark, sf_dir):
 
 
 def audit_checksums(spark, sf_dir):
-    return C.log_action(_log(spark, sf_dir), _SIGNED[2:5]).select("id", "checksum")
+    return C.log_action(_log(spark, sf_dir), _SIGNED).select("id", "checksum")
 
 
 def audit_integrity(spark, sf_dir):
@@ -57,7 +57,7 @@ def audit_offenders(spark, sf_dir):
 
 
 def audit_export_hash(spark, sf_dir):
-    return C.export_checksum(C.log_action(_log(spark, sf_dir), _SIGNED[2:5]), "id")
+    return C.export_checksum(C.log_action(_log(spark, sf_dir), _SIGNED), "id")
 
 
 def audit_report(spark, sf_dir):
@@ -168,8 +168,8 @@ def method_action(spark, sf_dir):
 
 
 def client_ips(spark, sf_dir):
-    d = table(prepare(spark), sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" 10.0.0."), F.col("doc_id") % 200, F.lit(" , 10.1.1.1"))).alias("fwd"))
-    return d.groupBy(W.client_ip(F.col("fwd"), F.lit("peer")).alias("ip")).agg(F.count("*").alias("n"))
+    d = table(prepare(spark), sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" 10.0.0."), F.col("doc_id") % 200, F.lit(" , 10.1.1.1"))).alias("fwd"), F.when(F.col("doc_id") % 3 == 1, F.lit("10.2.2.2")).alias("real"))
+    return d.groupBy(W.client_ip(F.col("fwd"), F.when(F.col("doc_id") % 2 == 0, "peer"), F.col("real")).alias("ip")).agg(F.count("*").alias("n"))
 
 
 def query_kind(spark, sf_dir):
@@ -210,8 +210,17 @@ QUERIES = {
 # ---- SQL ------------------------------------------------------------------
 
 _L = "l AS (SELECT event_id AS id, ts AS timestamp, event_type AS action, 'r' || (user_id % 7)::VARCHAR AS resource_type, user_id, props AS details FROM events)"
-_C = "sha256(concat_ws(', ', 'action=' || coalesce('''' || replace(action, '''', '''''') || '''', 'null'), 'resource_type=' || coalesce('''' || resource_type || '''', 'null'), 'user_id=' || coalesce('''' || user_id::VARCHAR || '''', 'null')))"
-_OFF = "(id % 17 = 0 AND details IS DISTINCT FROM '{\"k\":-1}')"
+
+
+def _sha(details: str = "details") -> str:
+    """The checksum of all six signed fields, by name, with the given details."""
+    cols = {"action": "action", "details": details, "id": "id", "resource_type": "resource_type", "timestamp": "timestamp", "user_id": "user_id"}
+    return "sha256(concat_ws(', ', " + ", ".join(f"'{k}=' || coalesce('''' || replace({c}::VARCHAR, '''', '''''') || '''', 'null')" for k, c in cols.items()) + "))"
+
+
+_C = _sha()
+#: A row fails if the checksum of what is stored now isn't the one that was signed.
+_OFF = "(" + _C + " <> " + _sha("(CASE WHEN id % 17 = 0 THEN '{\"k\":-1}' ELSE details END)") + ")"
 _PR = "CASE WHEN confidence < 0.3 THEN 'critical' WHEN confidence < 0.5 THEN 'high' WHEN confidence < 0.7 THEN 'medium' ELSE 'low' END"
 _I = "i AS (SELECT request_id AS item_id, workspace_id, confidence, (['entity', 'classification', 'enrichment', 'other'])[request_id % 4 + 1] AS item_type, received_at FROM entity_requests), q AS (SELECT * FROM i WHERE confidence < 0.7)"
 _TH = "CASE item_type WHEN 'classification' THEN 0.8 WHEN 'enrichment' THEN 0.75 ELSE 0.7 END::DOUBLE"
@@ -229,8 +238,9 @@ SQL = {
     "audit_checksums": f"WITH {_L} SELECT id, {_C} AS checksum FROM l",
     "audit_integrity": f"WITH {_L} SELECT count(*) AS total, count(*) FILTER (NOT {_OFF}) AS valid, count(*) FILTER ({_OFF}) AS invalid, coalesce(bool_and(NOT {_OFF}), true) AS verified FROM l",
     "audit_offenders": f"WITH {_L} SELECT id FROM l WHERE {_OFF}",
-    "audit_export_hash": f"""WITH {_L}, c AS (SELECT {_C} AS c, id::VARCHAR AS k FROM l), f AS (SELECT left(c, 3) AS b, substr(c, 4, 2) AS s, count(*) AS n, sha256(string_agg(c || ':' || k, chr(10) ORDER BY c, k)) AS h FROM c GROUP BY ALL),
-        g AS (SELECT b, sum(n) AS n, sha256(string_agg(h, chr(10) ORDER BY s)) AS h FROM f GROUP BY ALL) SELECT sum(n)::BIGINT AS n, sha256(string_agg(h, chr(10) ORDER BY b)) AS export_checksum FROM g""",
+    "audit_export_hash": f"""WITH {_L}, r AS (SELECT {_C} AS c, id::VARCHAR AS k, count(*) AS n FROM l GROUP BY ALL), x AS (SELECT n, sha256(concat_ws(':', c, k, n::VARCHAR)) AS h FROM r),
+        f AS (SELECT left(h, 6) AS b, sum(n) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM x GROUP BY ALL), g AS (SELECT left(b, 3) AS b, sum(n) AS n, sha256(string_agg(h, chr(10) ORDER BY b)) AS h FROM f GROUP BY ALL)
+        SELECT sum(n)::BIGINT AS n, sha256(string_agg(h, chr(10) ORDER BY b)) AS export_checksum FROM g""",
     "audit_report": f"""WITH {_L}, u AS (SELECT user_id, count(*) AS n FROM l WHERE user_id IS NOT NULL GROUP BY ALL ORDER BY n DESC, user_id LIMIT 10)
         SELECT 'action' AS section, action AS key, count(*) AS n FROM l GROUP BY ALL UNION ALL SELECT 'resource', resource_type, count(*) FROM l GROUP BY ALL UNION ALL SELECT 'user', user_id::VARCHAR, n FROM u
         UNION ALL SELECT 'hour', strftime(timestamp, '%Y-%m-%d %H:00') AS h, count(*) FROM l GROUP BY ALL UNION ALL SELECT 'total', 'events', count(*) FROM l
@@ -251,7 +261,7 @@ SQL = {
     "resource_from_path": f"WITH {_PA}, {_PARTS} SELECT doc_id, coalesce(x[1], 'unknown') AS resource_type, CASE WHEN x[2] <> '' AND NOT starts_with(x[2], '_') THEN x[2] END AS resource_id FROM u",
     "path_audited": f"WITH {_PA} SELECT doc_id, NOT (" + " OR ".join(f"starts_with(path, '{x}')" for x in W.EXCLUDED) + ") AS audited FROM p",
     "method_action": "SELECT (['read', 'create', 'update', 'update', 'delete', 'read'])[event_id % 6 + 1] AS action, count(*) AS n FROM events GROUP BY ALL",
-    "client_ips": "SELECT CASE WHEN doc_id % 3 = 0 THEN '10.0.0.' || (doc_id % 200)::VARCHAR ELSE 'peer' END AS ip, count(*) AS n FROM documents GROUP BY ALL",
+    "client_ips": "SELECT CASE WHEN doc_id % 3 = 0 THEN '10.0.0.' || (doc_id % 200)::VARCHAR WHEN doc_id % 3 = 1 THEN '10.2.2.2' WHEN doc_id % 2 = 0 THEN 'peer' ELSE 'unknown' END AS ip, count(*) AS n FROM documents GROUP BY ALL",
     "query_kind": r"SELECT request_id, CASE WHEN regexp_full_match(value, '\d{1,3}(\.\d{1,3}){3}') THEN 'ip' WHEN regexp_full_match(value, '[a-zA-Z0-9][-a-zA-Z0-9]*(\.[a-zA-Z0-9][-a-zA-Z0-9]*)+') THEN 'domain' ELSE 'search' END AS kind FROM entity_requests WHERE value IS NOT NULL",
     "request_histogram": "SELECT event_type, le, count(*) FILTER (abs(value) / 10 <= le) AS n FROM events, (SELECT unnest([" + ", ".join(f"{b}::DOUBLE" for b in W.BUCKETS) + "]) AS le) GROUP BY ALL",
     "job_ages": "WITH n AS (SELECT max(created_at) + INTERVAL 30 SECONDS AS now FROM ingestion_jobs), m AS (SELECT id, floor(epoch(now - created_at) / 60)::BIGINT AS m FROM ingestion_jobs, n) SELECT id, CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS age FROM m",

@@ -15,6 +15,7 @@ from ..session import prepare, scratch, spread, table
 from ..sources import connectors as N
 from ..sources import files as P
 from ..streaming import events as V
+from . import golden
 
 # ---- schemas ---------------------------------------------------------------------
 
@@ -329,8 +330,16 @@ _INFER = f""", x AS (SELECT *, trim(v) AS t FROM cells), ty AS (SELECT ord, name
     prof AS (SELECT x.name, coalesce(any_value(b.ty), 'str') AS inferred_type, bool_or(v IS NULL OR v = '') AS nullable, coalesce(string_agg(v, ',' ORDER BY ord) FILTER (ord <= 5 AND v <> ''), '') AS samples, round(coalesce(any_value(b.c), 0.5), 6) AS confidence FROM x LEFT JOIN best b ON x.name = b.name GROUP BY x.name)"""
 _CUST = "c AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS ord FROM customer QUALIFY ord <= 100)"
 _AL = "a AS (SELECT *, CASE WHEN json_valid(data) THEN data::JSON END AS v FROM data_records WHERE schema_id IN (SELECT id FROM basecamp_schemas WHERE name = '{}'))"
+_WHOLE = "m AS (SELECT coalesce(nullif(lower(trim(event_id)), ''), 'delivery-' || delivery_id) AS event_id, event_type, timestamp, payload FROM event_messages)"
 _MSG = "m AS (SELECT lower(trim(event_id)) AS event_id, event_type, timestamp, payload FROM event_messages WHERE event_id IS NOT NULL AND trim(event_id) <> '')"
 SQL = {
+    **{k: golden.SQL[k] for k in ("parse_uploads", "upload_jobs", "connector_union", "connector_hosts", "connector_recon", "connector_accounts", "pipeline_records")},
+    "stream_subject_counts_whole": f"WITH {_WHOLE} SELECT date_trunc('day', timestamp)::TIMESTAMP AS start, event_type, count(*) AS n FROM m WHERE event_type LIKE 'entity.%' GROUP BY ALL",
+    "stream_ingest_whole": f"WITH {_WHOLE} SELECT event_type, count(*) AS n FROM m WHERE json_valid(payload) GROUP BY ALL",
+    "schema_profile_records": "WITH " + _AL.format("attack_feed") + f""", o AS (SELECT row_number() OVER (ORDER BY id) AS ord, v FROM a WHERE json_type(v) = 'OBJECT' QUALIFY ord <= 100), k AS (SELECT DISTINCT unnest(json_keys(v)) AS name FROM o),
+        c AS (SELECT ord, name, json_extract(v, '$."' || name || '"') AS j FROM o, k), x AS (SELECT *, json_type(j) AS jt, j->>'$' AS v, trim(j->>'$') AS t FROM c), ty AS (SELECT name, v, CASE WHEN jt IS NULL OR jt = 'NULL' THEN NULL WHEN jt = 'BOOLEAN' THEN 'bool' WHEN jt IN ('UBIGINT', 'BIGINT') THEN 'int' WHEN jt = 'DOUBLE' THEN 'float' WHEN jt = 'VARCHAR' THEN {_TYPE} ELSE 'str' END AS ty FROM x),
+        vote AS (SELECT name, ty, count(*) AS n FROM ty WHERE ty IS NOT NULL GROUP BY ALL), best AS (SELECT name, arg_min(ty, (-n, {_RANK})) AS ty, max(n) / sum(n) AS c FROM vote GROUP BY ALL)
+        SELECT ty.name, coalesce(any_value(b.ty), 'str') AS inferred_type, bool_or(v IS NULL OR v = '') AS nullable, round(coalesce(any_value(b.c), 0.5), 6) AS confidence FROM ty LEFT JOIN best b ON ty.name = b.name GROUP BY ty.name""",
     "schema_profile": f"""WITH {_CUST}, cells AS (SELECT ord, unnest(['key', 'c_name', 'nation', 'balance', 'segment']) AS name, unnest([c_custkey::VARCHAR, c_name, c_nationkey::VARCHAR, printf('%.2f', c_acctbal), CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END]) AS v FROM c){_INFER} SELECT * FROM prof""",
     "schema_confidence": f"""WITH {_CUST}, cells AS (SELECT ord, unnest(['mixed', 'c_name']) AS name, unnest([CASE WHEN c_custkey % 4 = 0 THEN 'x' ELSE c_nationkey::VARCHAR END, c_name]) AS v FROM c){_INFER} SELECT round(avg(confidence), 6) AS confidence FROM prof""",
     "schema_merge": """WITH f AS (SELECT id AS seq, version, unnest(json_transform(fields, '[{"name":"VARCHAR","field_type":"VARCHAR","nullable":"BOOLEAN"}]')) AS f FROM basecamp_schemas WHERE json_type(fields) = 'ARRAY'), p AS (SELECT seq, f.name, f.field_type AS ty, f.nullable, 1.0::DOUBLE / version AS c FROM f),

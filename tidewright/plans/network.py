@@ -8,7 +8,7 @@ from ..operators import entities as X
 from ..operators import graph as G
 from ..operators import vectors as V
 from ..session import prepare, spread, table
-from .entities import _FOUND
+from .entities import _FIRST, _FOUND
 
 
 def _nodes(spark, sf_dir):
@@ -42,19 +42,20 @@ def _all_entities(spark, sf_dir):
     return X.deduplicate(e, F.struct("doc_id", "seq", "value")).select(F.concat_ws(":", "entity_type", "normalized_value").alias("id"), "source_record_id", "entity_type", "value")
 
 
-def _doc_entities(spark, sf_dir):
-    """E-mail, address and handle entities of the documents, each with its first document; ``_all_entities`` has every type."""
-    e = X.extract(spread(table(prepare(spark), sf_dir, "documents").select("doc_id", "text")), "text", "doc_id").where("entity_type in ('email', 'ip_address', 'social_handle')")
-    e = e.withColumn("source_record_id", F.col("doc_id"))
-    return X.deduplicate(e, F.struct("doc_id", "seq", "value")).select(F.concat_ws(":", "entity_type", "normalized_value").alias("id"), "source_record_id")
+def _members(spark, sf_dir):
+    """(id, source_record_id): entities of every type with every document that names them."""
+    e = X.extract(spread(table(prepare(spark), sf_dir, "documents").select("doc_id", "text")), "text", "doc_id")
+    return e.select(F.concat_ws(":", "entity_type", "normalized_value").alias("id"), F.col("doc_id").alias("source_record_id")).distinct()
 
 
 def graph_cooccurrence_edges(spark, sf_dir):
-    return G.cooccurrence(_doc_entities(spark, sf_dir))
+    """Edges between the entities of every document that names them, not of the first only; stars where a document names very many."""
+    return G.linked(_members(spark, sf_dir))
 
 
 def graph_star_edges(spark, sf_dir):
-    return G.star(_doc_entities(spark, sf_dir))
+    """Edges from the entities to every document that names them."""
+    return G.star(_members(spark, sf_dir))
 
 
 def graph_document_edges(spark, sf_dir):
@@ -99,8 +100,7 @@ def graph_stats(spark, sf_dir):
 
 def graph_neighbors(spark, sf_dir):
     """Paths of up to three edges from a region, all of them."""
-    e = _edges(spark, sf_dir).where("type <> 'RESIDES_AT'")
-    return G.neighbors(e, "r1", 3, limit=None)
+    return G.neighbors(_edges(spark, sf_dir), "r1", 3, limit=None)
 
 
 def graph_neighbors_typed(spark, sf_dir):
@@ -202,7 +202,10 @@ QUERIES = {
 _N = "nodes AS (" + " UNION ALL ".join(f"SELECT '{k[0]}' || {k} AS id, '{lab}' AS label, {v} AS value, lower({v}) AS normalized_value, 'ws{k[0]}' AS workspace_id FROM {t}" for t, k, v, lab in (("region", "r_regionkey", "r_name", "Country"), ("nation", "n_nationkey", "n_name", "Country"), ("supplier", "s_suppkey", "s_name", "Organization"), ("customer", "c_custkey", "c_name", "Person"))) + ")"
 _E = "edges AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'PART_OF' AS type FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'LOCATED_IN' FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'RESIDES_AT' FROM customer)"
 _LAB = "CASE translate(upper(trim(entity_type)), ' -', '__') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in G.TYPE_LABELS.items()) + " ELSE 'Entity' END"
-_DE = _FOUND + ", d AS (SELECT entity_type || ':' || normalized_value AS id, min(doc_id) AS r FROM found WHERE entity_type IN ('email', 'ip_address', 'social_handle') GROUP BY ALL)"
+_D1 = _FOUND + ", d AS (SELECT entity_type || ':' || normalized_value AS id, min(doc_id) AS r FROM found GROUP BY ALL)"
+_DM = _FOUND + ", d AS (SELECT DISTINCT entity_type || ':' || normalized_value AS id, doc_id AS r FROM found)"
+_LINKED = f"""big AS (SELECT r FROM d GROUP BY ALL HAVING count(*) >= {G.MANY}) SELECT a.id AS src, b.id AS dst, 'ASSOCIATED_WITH' AS type, a.r::VARCHAR AS source_record_id FROM d a JOIN d b ON a.r = b.r AND a.id < b.id WHERE a.r NOT IN (SELECT r FROM big)
+    UNION ALL SELECT id, r::VARCHAR, 'EXTRACTED_FROM', r::VARCHAR FROM d WHERE r IN (SELECT r FROM big)"""
 _STATS = "SELECT 'label' AS kind, label AS name, count(*) AS n FROM {n} GROUP BY ALL UNION ALL SELECT 'type', type, count(*) FROM {e} GROUP BY ALL UNION ALL SELECT 'total', 'nodes', count(*) FROM {n} UNION ALL SELECT 'total', 'edges', count(*) FROM {e}"
 
 
@@ -218,15 +221,18 @@ _HB = "('0x' || substr(sha256(lower(n_name) || (j // 32)::VARCHAR), ((j % 32) *
 SQL = {
     "graph_label_map": f"SELECT trim(entity_type) AS entity_type, {_LAB} AS label, count(*) AS n FROM entity_requests GROUP BY ALL",
     "graph_export_nodes": f"SELECT entity_id AS id, {_LAB} AS label, value, workspace_id, entity_type AS meta_kind, 1::BIGINT AS n_properties FROM (SELECT entity_id, arg_min(entity_type, request_id) AS entity_type, arg_min_null(value, request_id) AS value, arg_min(workspace_id, request_id) AS workspace_id FROM entity_requests WHERE entity_id IS NOT NULL GROUP BY ALL)",
-    "graph_cooccurrence_edges": f"WITH {_DE} SELECT a.id AS src, b.id AS dst, 'ASSOCIATED_WITH' AS type, a.r AS source_record_id FROM d a JOIN d b ON a.r = b.r AND a.id < b.id",
-    "graph_star_edges": f"WITH {_DE} SELECT id AS src, r AS dst, 'EXTRACTED_FROM' AS type FROM d",
+    "graph_cooccurrence_edges": f"WITH {_DM}, {_LINKED}",
+    "graph_star_edges": f"WITH {_DM} SELECT id AS src, r AS dst, 'EXTRACTED_FROM' AS type FROM d",
+    "graph_document_edges": f"WITH {_D1}, {_LINKED}",
+    "graph_document_star": f"WITH {_D1} SELECT id AS src, r AS dst, 'EXTRACTED_FROM' AS type FROM d",
+    "vector_point_ids": "SELECT payload_id, (('0x' || substr(sha1(unhex('" + V.NAMESPACE + "') || encode(id)), 17, 16))::UBIGINT & 4611686018427387903::UBIGINT)::BIGINT AS point_id FROM entity_payloads",
     "graph_edges_upsert": f"WITH {_E} SELECT type, count(*) AS n FROM edges WHERE type <> 'LOCATED_IN' GROUP BY ALL",
     "graph_nodes_upsert": f"WITH {_N} SELECT id, CASE WHEN label = 'Country' THEN 'City' ELSE label END AS label, value FROM nodes UNION ALL SELECT 'x1', 'Entity', 'new'",
     "graph_incident": f"WITH {_E} SELECT 'n7' AS source_id, dst AS other_id, type, true AS out FROM edges WHERE src = 'n7' UNION ALL SELECT 'n7', src, type, false FROM edges WHERE dst = 'n7' AND src <> dst",
     "graph_find": f"WITH {_N} SELECT id, value FROM nodes WHERE label = 'Country' AND (normalized_value = 'nation_7' OR value = 'AFRICA') ORDER BY id LIMIT 1",
     "graph_search": f"WITH {_N} SELECT id, value FROM nodes WHERE (contains(lower(value), 'ion_1') OR contains(normalized_value, 'ion_1')) AND label = 'Country' AND workspace_id = 'wsn' ORDER BY id LIMIT 50",
     "graph_stats": f"WITH {_N}, {_E} {_STATS.format(n='nodes', e='edges')}",
-    "graph_neighbors": f"SELECT node_id, depth FROM ({_paths('r1', 3, "type <> 'RESIDES_AT'")})",
+    "graph_neighbors": f"SELECT node_id, depth FROM ({_paths('r1', 3, "true")})",
     "graph_neighbors_typed": f"SELECT node_id, depth FROM ({_paths('n3', 2, "type IN ('PART_OF', 'LOCATED_IN')")}) ORDER BY depth, path LIMIT 100",
     "graph_delete": f"WITH {_N}, {_E}, n2 AS (SELECT * FROM nodes WHERE id NOT IN ('n1', 'n2', 'r3')), e2 AS (SELECT * FROM edges WHERE src NOT IN ('n1', 'n2', 'r3') AND dst NOT IN ('n1', 'n2', 'r3')) {_STATS.format(n='n2', e='e2')}",
     "graph_clear_workspace": f"WITH {_N}, {_E}, n2 AS (SELECT * FROM nodes WHERE workspace_id <> 'wsc'), e2 AS (SELECT * FROM edges WHERE type <> 'RESIDES_AT') {_STATS.format(n='n2', e='e2')}",
@@ -239,6 +245,7 @@ SQL = {
     "vector_search": f"SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank <= 10",
     "vector_stats": "SELECT count(*) AS points, count(embedding) AS indexed, max(len(embedding))::BIGINT AS dimension, min(len(embedding)) = max(len(embedding)) AS uniform FROM embeddings",
     "vector_upsert": "SELECT label, count(*) AS n FROM (SELECT CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings) GROUP BY ALL",
+    "entity_embeddings": f"WITH {_FIRST}, e AS (SELECT entity_type || ':' || normalized_value AS id, lower(concat_ws(' ', nullif(entity_type, ''), nullif(value, ''))) AS n_name FROM firsts), v AS (SELECT id, list_transform(range(384), lambda j: {_HB}) AS v FROM e), w AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS d FROM v) SELECT id, round(v[1] / d, 6) AS c0, round(v[32] / d, 6) AS c31, round(v[33] / d, 6) AS c32, round(v[384] / d, 6) AS c383, len(v)::BIGINT AS size FROM w",
     "hash_embedding": f"WITH v AS (SELECT n_nationkey, list_transform(range(384), lambda j: {_HB}) AS v FROM nation), w AS (SELECT n_nationkey, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS d FROM v) SELECT n_nationkey, round(v[1] / d, 6) AS c0, round(v[32] / d, 6) AS c31, round(v[33] / d, 6) AS c32, round(v[384] / d, 6) AS c383, len(v)::BIGINT AS size FROM w",
     "embedding_texts": "SELECT request_id, concat_ws(' ', nullif(trim(entity_type), ''), nullif(value, ''), nullif(array_to_string(list_sort(tags), ' '), '')) AS text FROM entity_requests",
 }

@@ -99,3 +99,15 @@ SQL = {
         SELECT m AS kept_id, d AS copy_id FROM c WHERE d <> m""",
 }
 SQL["p2_merged"] = SQL["p2_found"]
+
+#: Columns of the profiled tables. (fixed values of the tables)
+_COLUMNS = {
+    "ingestion_jobs": {"string": "id workspace_id data_source_id source_id schema_id state file_name file_format error_message job_metadata", "bigint": "file_size", "int": "record_count total_records processed_records failed_records", "timestamp_ntz": "started_at created_at completed_at"},
+    "data_records": {"string": "id workspace_id schema_id ingestion_job_id job_id data", "timestamp_ntz": "created_at updated_at"},
+}
+SQL["p5_profile"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{k}' AS column_type, count(*) AS n_rows, (count(*) - count({c})) AS n_nulls, count(DISTINCT {c}) AS distinct_values, min({c})::VARCHAR AS min_value, max({c})::VARCHAR AS max_value FROM {t}"
+    for t, kinds in _COLUMNS.items()
+    for k, names in kinds.items()
+    for c in names.split()
+)

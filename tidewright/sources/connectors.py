@@ -8,14 +8,16 @@ written back to a service.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, DataSourceStreamReader
 
 from ..functions.web import is_domain, is_ip
+from .paths import names_below, objects_of
 
 #: States of a connector. (fixed values)
 STATUSES = ("disconnected", "connected", "error", "rate_limited")
@@ -126,6 +128,10 @@ def recon_xml(df: DataFrame, domain: str, xml: str) -> DataFrame:
     return base.select(F.explode(rows).alias("r")).select("r.*")
 
 
+class RateLimited(Exception):
+    """A feed refuses to answer for now; a connector raises it when its service says so."""
+
+
 @dataclass
 class Result:
     """Answer of one connector."""
@@ -214,14 +220,14 @@ def fetch_all(spark: SparkSession, connectors: list[Connector], query: str | Non
             c.connect(spark)
             results.append(c.fetch(spark, query))
         except Exception as e:  # a feed that fails must not stop the others
-            c.status = "rate_limited" if "rate" in str(e).lower() and "limit" in str(e).lower() else "error"
+            c.status = "rate_limited" if isinstance(e, RateLimited) else "error"
             results.append(Result(c.name, None, c.status, [str(e)[:500]]))
     frames = [r.data for r in results if r.data is not None]
     return (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None), results
 
 
 class CapturedFeed(DataSource):
-    """Spark data source ``captured``: the objects of captured JSON answers as rows (feed, data)."""
+    """Spark data source ``captured``: the objects of captured JSON answers as rows (feed, data); as a stream, a folder polled for new ones."""
 
     @classmethod
     def name(cls) -> str:
@@ -233,6 +239,9 @@ class CapturedFeed(DataSource):
     def reader(self, schema):
         return _CapturedReader(self.options)
 
+    def streamReader(self, schema):
+        return _PolledReader(self.options)
+
 
 class _CapturedReader(DataSourceReader):
     def __init__(self, options):
@@ -242,10 +251,30 @@ class _CapturedReader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition):
-        import json
+        yield from _feed_rows(partition.value)
+
+
+def _feed_rows(path: str):
+    feed = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    for x in objects_of(path):
+        yield (feed, json.dumps(x, ensure_ascii=False))
+
+
+class _PolledReader(DataSourceStreamReader):
+    """Polls a folder: each poll reads the files that came since the last, by name, a task each."""
 
-        with open(partition.value.removeprefix("file://"), encoding="utf-8") as f:
-            doc = json.load(f)
-        feed = partition.value.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        for x in doc if isinstance(doc, list) else [doc]:
-            yield (feed, json.dumps(x, ensure_ascii=False))
+    def __init__(self, options):
+        self.folder = options.get("path", "")
+
+    def initialOffset(self) -> dict:
+        return {"after": ""}
+
+    def latestOffset(self) -> dict:
+        names = names_below(self.folder)
+        return {"after": names[-1] if names else ""}
+
+    def partitions(self, start: dict, end: dict):
+        return [InputPartition(f) for f in names_below(self.folder) if start["after"] < f <= end["after"]]
+
+    def read(self, partition):
+        yield from _feed_rows(partition.value)

@@ -97,15 +97,15 @@ def parse_json(content: bytes):
             try:
                 x = json.loads(line)
             except ValueError as e:
-                yield _error(n, f"Invalid JSON: {e}")
+                yield _error(n, f"line is no JSON ({e})")
                 continue
-            yield _row(n, x) if isinstance(x, dict) else _error(n, "Expected an object")
+            yield _row(n, x) if isinstance(x, dict) else _error(n, "line holds no object")
         return
     if not isinstance(doc, (list, dict)):
-        yield _error(None, f"Expected array or object at root, got {type(doc).__name__}")
+        yield _error(None, f"document is a {type(doc).__name__}, not a list or an object")
         return
     for n, x in enumerate(doc if isinstance(doc, list) else [doc], 1):
-        yield _row(n, x) if isinstance(x, dict) else _error(n, f"Expected object, got {type(x).__name__}")
+        yield _row(n, x) if isinstance(x, dict) else _error(n, f"item is a {type(x).__name__}, not an object")
 
 
 def _table(rows, headers, first: int, convert, sheet=None, skip_blank: bool = False):
@@ -113,7 +113,7 @@ def _table(rows, headers, first: int, convert, sheet=None, skip_blank: bool = Fa
         if skip_blank and all(v is None or v == "" for v in row):
             continue
         if len(row) > len(headers):
-            yield _error(n, f"Row has {len(row)} columns, expected {len(headers)}", "warning")
+            yield _error(n, f"{len(row)} cells under {len(headers)} headers, the rest is cut", "warning")
         cells = list(row[: len(headers)]) + [None] * (len(headers) - len(row))
         yield _row(n, {h: convert(c) for h, c in zip(headers, cells)}, sheet)
 
@@ -208,10 +208,10 @@ def parse_xlsx(content: bytes, sheet: str | None = None, has_header: bool = True
     try:
         book = Workbook(content)
     except (zipfile.BadZipFile, KeyError, ET.ParseError) as e:
-        yield _error(None, f"Failed to open Excel file: {e}")
+        yield _error(None, f"no readable workbook ({e})")
         return
     if sheet is not None and sheet not in book.sheets:
-        yield _error(None, f"Sheet '{sheet}' not found. Available: {list(book.sheets)}")
+        yield _error(None, f"no sheet {sheet!r} among {list(book.sheets)}")
         return
     name = sheet or book.active
     rows = list(book.rows(name))
@@ -224,21 +224,34 @@ def parse_xlsx(content: bytes, sheet: str | None = None, has_header: bool = True
 
 def write_xlsx(columns: list[str], rows, sheet: str = "Data") -> bytes:
     """A workbook of one sheet with all values as text."""
-    from xml.sax.saxutils import escape
+    return write_workbook({sheet: (columns, rows)})
+
+
+def write_workbook(sheets: dict[str, tuple[list[str], list]]) -> bytes:
+    """A workbook of sheets (columns, rows) with all values as text."""
+    from xml.sax.saxutils import escape, quoteattr
 
     def cells(values):
         return "".join("<c/>" if v is None else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_CONTROL.sub("", str(v)))}</t></is></c>' for v in values)
 
-    body = "".join(f"<row>{cells(r)}</row>" for r in [columns, *rows])
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    rel = _NS["r"]
+    package = "http://schemas.openxmlformats.org/package/2006"
+    types, rels, book, parts = "", "", "", {}
+    for n, (name, (columns, rows)) in enumerate(sheets.items(), 1):
+        types += f'<Override PartName="/xl/worksheets/sheet{n}.xml" ContentType="{kind}.worksheet+xml"/>'
+        rels += f'<Relationship Id="rId{n}" Type="{rel}/worksheet" Target="worksheets/sheet{n}.xml"/>'
+        book += f'<sheet name={quoteattr(name)} sheetId="{n}" r:id="rId{n}"/>'
+        body = "".join(f"<row>{cells(r)}</row>" for r in [columns, *rows])
+        parts[f"xl/worksheets/sheet{n}.xml"] = f'<worksheet xmlns="{_NS["m"]}"><sheetData>{body}</sheetData></worksheet>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-        z.writestr("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>')
-        rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-        z.writestr("_rels/.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_NS["m"]}" xmlns:r="{rel}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_NS["m"]}"><sheetData>{body}</sheetData></worksheet>')
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{types}</Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">{rels}</Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_NS["m"]}" xmlns:r="{rel}"><sheets>{book}</sheets></workbook>')
+        for name, text in parts.items():
+            z.writestr(name, text)
     return out.getvalue()
 
 

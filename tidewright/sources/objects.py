@@ -49,6 +49,17 @@ class ObjectStore:
     def delete(self, bucket: str, key: str) -> bool:
         return self._fs.delete(self._at(bucket, key), False)
 
+    def buckets_there(self) -> list[str]:
+        """Buckets that exist, of those that may."""
+        return [b for b in self.buckets if self._fs.exists(self._at(b))]
+
+    def drop(self, bucket: str) -> bool:
+        """Remove a bucket that holds nothing; one with objects is an error."""
+        p = self._at(bucket)
+        if self._fs.exists(p) and len(self._fs.listStatus(p)):
+            raise ValueError(f"bucket {bucket!r} isn't empty")
+        return self._fs.delete(p, False)
+
     def list(self, bucket: str, pattern: str = "*") -> DataFrame:
         """(path, length, modificationTime) of a bucket's objects."""
         return list_files(self.spark, self._at(bucket).toString(), pattern)

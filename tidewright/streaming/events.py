@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import time
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +40,7 @@ def subject_matches(col: Column, pattern: str) -> Column:
     return col.rlike(f"^{rx}$")
 
 
-def event(event_type: str, event_id: Column, timestamp: Column, source: Column, correlation_id: Column | None = None, **fields: Column) -> list[Column]:
+def event(event_type: str, event_id: Column, timestamp: Column, source: Column, correlation_id: Column | None = None, /, **fields: Column) -> list[Column]:
     """Columns of a typed event; a field its type doesn't have is an error."""
     unknown = set(fields) - set(EVENT_FIELDS[event_type])
     if unknown:
@@ -79,10 +80,13 @@ def sessions(events: DataFrame, gap: str, late: str, *by: str, time: str = "time
     return events.withWatermark(time, late).groupBy(w, *by).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *by, "n")
 
 
-def retained(events: DataFrame, now: Column, max_messages: int = MAX_MESSAGES) -> DataFrame:
-    """Events a stream keeps: of the last seven days, the newest so many."""
+def retained(events: DataFrame, now: Column, max_messages: int = MAX_MESSAGES, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Events a stream keeps: of the last seven days, the newest so many, as long as their payloads don't exceed ``max_bytes`` together."""
     young = events.where(F.col("timestamp") >= now - F.expr(f"INTERVAL {MAX_AGE_DAYS} DAYS"))
-    return young.orderBy(F.desc("timestamp"), "event_id").limit(max_messages)
+    newest = young.orderBy(F.desc("timestamp"), "event_id").limit(max_messages)
+    # The running sum is over at most ``max_messages`` rows.
+    size = F.sum(F.coalesce(F.octet_length("payload"), F.lit(0))).over(Window.orderBy(F.desc("timestamp"), "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    return newest.withColumn("_size", size).where(F.col("_size") <= max_bytes).drop("_size")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -104,6 +108,25 @@ def fan_out(stream: DataFrame, sinks: dict[str, tuple[str, object]], checkpoint:
     return out
 
 
+def poll_patiently(stream, handle, checkpoint: str, interval_s: int = 3600, back_off_s: int = 60, polls: int | None = None, sleep=time.sleep) -> int:
+    """Poll again and again: ``stream()`` gives the feed's frame; after an error the next poll waits ``back_off_s``.
+
+    ``polls`` ends the loop after so many polls; the number that failed is
+    returned.  What a failed poll left undone is done by the next one.
+    """
+    failed = n = 0
+    while polls is None or n < polls:
+        n += 1
+        try:
+            poll(stream(), handle, checkpoint, once_only=True).awaitTermination()
+            wait = interval_s
+        except Exception:  # the feed may be back at the next poll
+            failed, wait = failed + 1, back_off_s
+        if polls is None or n < polls:
+            sleep(wait)
+    return failed
+
+
 def poll(stream: DataFrame, handle, checkpoint: str, interval_s: int = 3600, once_only: bool = False):
     """Run a pipeline on every new batch of a polled feed, each hour unless said otherwise."""
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
