@@ -83,27 +83,31 @@ def summary(log: DataFrame) -> DataFrame:
 
 
 def report(log: DataFrame, fields: list[str], start=None, end=None) -> DataFrame:
-    """(section, key, n): the whole report in one pass over the log for the counts, one for integrity.
+    """(section, key, n): the whole report in one pass over the log.
 
-    Grouping sets give actions, resources, users and hours at once; only the
-    ten most active users are kept of theirs.
+    Grouping sets give actions, resources, users, hours and integrity at once;
+    only the ten most active users are kept of theirs.  A range of time narrows
+    the counts, never integrity, which is that of the whole log.
     """
-    rows = log
+    inside = F.lit(True)
     if start is not None:
-        rows = rows.where(F.col("timestamp") >= F.lit(start))
+        inside = inside & (F.col("timestamp") >= F.lit(start))
     if end is not None:
-        rows = rows.where(F.col("timestamp") <= F.lit(end))
-    base = rows.select(F.col("action"), F.col("resource_type").alias("resource"), F.col("user_id").cast("string").alias("usr"), F.date_format("timestamp", "yyyy-MM-dd HH:00").alias("hour"))
-    g = base.groupingSets([["action"], ["resource"], ["usr"], ["hour"], []], "action", "resource", "usr", "hour").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
-    names = {7: ("action", "action"), 11: ("resource", "resource"), 13: ("user", "usr"), 14: ("hour", "hour"), 15: ("total", None)}
+        inside = inside & (F.col("timestamp") <= F.lit(end))
+    valid = F.when(F.col("valid"), "valid").otherwise("invalid").alias("valid")
+    base = verify(log, fields).select(F.col("action"), F.col("resource_type").alias("resource"), F.col("user_id").cast("string").alias("usr"), F.date_format("timestamp", "yyyy-MM-dd HH:00").alias("hour"), valid, F.coalesce(inside, F.lit(False)).alias("inside"))
+    g = base.groupingSets([["action"], ["resource"], ["usr"], ["hour"], ["valid"], []], "action", "resource", "usr", "hour", "valid").agg(F.count_if("inside").alias("n"), F.count("*").alias("whole"), F.grouping_id().alias("g"))
+    names = {15: ("action", "action"), 23: ("resource", "resource"), 27: ("user", "usr"), 29: ("hour", "hour"), 30: ("integrity", "valid"), 31: ("total", None)}
     sec, key = F.lit(None).cast("string"), F.lit(None).cast("string")
     for gid, (s, c) in names.items():
         sec = F.when(F.col("g") == gid, s).otherwise(sec)
         key = F.when(F.col("g") == gid, F.col(c) if c else F.lit("events")).otherwise(key)
-    flat = g.select(sec.alias("section"), key.alias("key"), "n")
+    flat = g.select(sec.alias("section"), key.alias("key"), F.when(F.col("g") == 30, F.col("whole")).otherwise(F.col("n")).alias("n")).where("n > 0 or section = 'total'")
     users = flat.where("section = 'user' and key is not null").orderBy(F.desc("n"), F.col("key").cast("bigint"), "key").limit(10)
-    i = integrity(log, fields).select(F.explode(F.array(F.struct(F.lit("valid").alias("key"), F.col("valid").alias("n")), F.struct(F.lit("invalid").alias("key"), F.col("invalid").alias("n")))).alias("x")).select(F.lit("integrity").alias("section"), "x.*")
-    return flat.where("section <> 'user'").unionByName(users).unionByName(i)
+    # Both states of integrity are there, zero included.
+    both = log.sparkSession.createDataFrame([("integrity", "valid"), ("integrity", "invalid")], "section string, key string")
+    i = both.join(F.broadcast(flat.where("section = 'integrity'")), ["section", "key"], "left").select("section", "key", F.coalesce("n", F.lit(0)).alias("n"))
+    return flat.where("section not in ('user', 'integrity')").unionByName(users).unionByName(i)
 
 
 def track(record_id: Column, source_type: Column, parent: Column) -> list[Column]:

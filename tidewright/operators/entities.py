@@ -38,28 +38,20 @@ def walk_strings(df: DataFrame, data: str, *keep: str, label: str = "") -> DataF
         for b in it:
             at, paths, texts = [], [], []
 
-            def walk(v, prefix):
-                for k, x in v.items():
-                    p = f"{prefix}.{k}" if prefix else k
-                    if type(x) is str:
-                        at.append(i), paths.append(p), texts.append(x)
-                    elif isinstance(x, dict):
-                        walk(x, p)
-                    elif isinstance(x, list):
-                        for n, y in enumerate(x):
+            for i, t in enumerate(b.column(1).to_pylist()):
+                v = J.read(t)
+                stack = [("", v)] if isinstance(v, dict) else []
+                while stack:  # a stack of our own, so any depth that can be parsed will do
+                    prefix, v = stack.pop()
+                    for k, x in v.items():
+                        p = f"{prefix}.{k}" if prefix else k
+                        for q, y in [(f"{p}[{n}]", y) for n, y in enumerate(x)] if isinstance(x, list) else [(p, x)]:
                             if type(y) is str:
-                                at.append(i), paths.append(f"{p}[{n}]"), texts.append(y)
+                                at.append(i), paths.append(q), texts.append(y)
                             elif isinstance(y, dict):
-                                walk(y, f"{p}[{n}]")
+                                stack.append((q, y))
 
-            for i, t in enumerate(b.column(1).to_pylist()):
-                v = J.read(t)
-                if isinstance(v, dict):
-                    try:
-                        walk(v, "")
-                    except RecursionError:
-                        continue
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array([label + p for p in paths], pa.string()), pa.array(texts, pa.string())], names=["k", "path", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), J.strings([label + p for p in paths]), J.strings(texts)], names=["k", "path", "text"])
 
     out = rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, path string, text string")
     return out.select("k.*", "path", "text")

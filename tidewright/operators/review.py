@@ -59,7 +59,7 @@ def stats(items: DataFrame) -> DataFrame:
     domain = items.sparkSession.createDataFrame([(s,) for s in STATUSES], "status string")
     got = items.groupBy("status").agg(F.count("*").alias("n"))
     out = domain.join(got, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
-    return out.unionByName(items.agg(F.count("*").alias("n")).select(F.lit("total").alias("status"), "n"))
+    return out.unionByName(got.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("total").alias("status"), "n"))
 
 
 def training_rows(items: DataFrame, start=None, end=None, limit: int = 10_000, at: str = "decided_at", key: str = "item_id") -> DataFrame:

@@ -82,8 +82,10 @@ def _matrix(column: pa.Array, size: int | None) -> tuple[np.ndarray, np.ndarray]
     """(unit vectors, which rows they are of): rows of another length than ``size``, or of none, are left out."""
     lengths = np.diff(column.offsets.to_numpy())
     fit = (lengths == (size or (lengths.max() if len(lengths) else 0))) & (lengths > 0)
+    if not fit.any():
+        return np.zeros((0, 0)), np.zeros(0, np.int64)
     x = column.filter(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(fit.sum()), -1)
-    norm = np.linalg.norm(x, axis=1) if len(x) else np.zeros(0)
+    norm = np.linalg.norm(x, axis=1)
     keep = norm > 0
     return x[keep] / norm[keep, None], np.flatnonzero(fit)[keep]
 

@@ -252,7 +252,7 @@ def _published(spark, sf_dir, whole=False):
 def stream_event_dedup(spark, sf_dir):
     """Messages with an id read as a stream, each id once."""
     out, path = scratch(spark, "out"), _published(spark, sf_dir)
-    V.run_available(V.once(V.subscribe(spark, path), "400 days").select("event_id", "event_type"), out, scratch(spark, "checkpoint"))
+    V.once_stored(V.subscribe(spark, path).select("event_id", "event_type"), out, scratch(spark, "checkpoint")).awaitTermination()
     return spark.read.schema("event_id string, event_type string").parquet(out)
 
 

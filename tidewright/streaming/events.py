@@ -69,6 +69,28 @@ def once(events: DataFrame, late: str = "1 day", key: str = "event_id", time: st
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def once_stored(stream: DataFrame, path: str, checkpoint: str, key: str = "event_id", buckets: int = 64):
+    """A query that appends each event to ``path`` once, however late a copy comes; runs on what is there and stops.
+
+    Stateless: what was seen lies below ``path`` by bucket of the id, and a
+    batch reads the ids of the buckets it touches.  A batch that is repeated
+    replaces what it wrote.  Events without an id all stay.
+    """
+    spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+
+    def handle(batch, n):
+        rows = batch.withColumn("bucket", bucket)
+        named = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
+        if n:
+            seen = spark.read.schema(schema).parquet(path).where(F.col("batch") < n).select(key, "bucket")
+            named = named.join(seen, [key, "bucket"], "left_anti").select(*rows.columns)
+        named.unionByName(rows.where(F.col(key).isNull())).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={n}")
+
+    return poll(stream, handle, checkpoint, once_only=True)
+
+
 def tumbling(events: DataFrame, size: str, late: str, *by: str, time: str = "timestamp", slide: str | None = None) -> DataFrame:
     """Counts per window (tumbling, or sliding with ``slide``) and ``by``; rows later than ``late`` are dropped."""
     w = F.window(time, size, slide) if slide else F.window(time, size)
