@@ -91,7 +91,9 @@ def z_having(spark, sf_dir):
 
 
 def z_approx_distinct(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
+    """Whether the sketch of distinct parts lies within three of its standard errors of their number."""
+    n = _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("parts"))
+    return n.select("l_returnflag", "parts", (F.abs(F.col("a") - F.col("parts")) <= 0.06 * F.col("parts")).alias("close"))
 
 
 def z_percentile(spark, sf_dir):
@@ -127,6 +129,7 @@ SQL = {
     "z_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "z_set_ops": "SELECT 'union' AS op, k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) UNION ALL SELECT 'intersect', k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'except', k FROM (SELECT DISTINCT k FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier))",
     "z_having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL HAVING n > 15",
+    "z_approx_distinct": "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS close FROM lineitem GROUP BY ALL",
     "z_percentile": "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 4) AS median FROM orders GROUP BY ALL",
     "z_pivot": "SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS f, count(*) FILTER (l_linestatus = 'O') AS o FROM lineitem GROUP BY ALL",
     "z_tumbling": "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL",

@@ -6,7 +6,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from ..functions import entity as E
 from ..operators import entities as X
+from ..operators import graph as G
 from ..operators import pipeline as I
 from ..operators import records as R
 from ..operators import schema as S
@@ -16,6 +18,7 @@ from ..sources import connectors as N
 from ..sources import files as P
 from ..streaming import events as V
 from . import golden
+from .entities import _NORM, _WALK, _sql_matches
 
 # ---- schemas ---------------------------------------------------------------------
 
@@ -234,6 +237,11 @@ def pipeline_ingest(spark, sf_dir):
     return out[0]
 
 
+def pipeline_counts(spark, sf_dir):
+    """What :func:`pipeline_ingest` gives, without the digests."""
+    return pipeline_ingest(spark, sf_dir).select("part", "kind", "n")
+
+
 # ---- streams ---------------------------------------------------------------------
 
 
@@ -253,7 +261,7 @@ def stream_event_dedup(spark, sf_dir):
     """Messages with an id read as a stream, each id once."""
     out, path = scratch(spark, "out"), _published(spark, sf_dir)
     V.once_stored(V.subscribe(spark, path).select("event_id", "event_type"), out, scratch(spark, "checkpoint")).awaitTermination()
-    return spark.read.schema("event_id string, event_type string").parquet(out)
+    return spark.read.schema("event_id string, event_type string").parquet(out).select("event_id", "event_type")
 
 
 def _subject_counts(spark, path):
@@ -315,7 +323,7 @@ def event_build(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (schema_profile, schema_profile_records, schema_confidence, schema_merge, schema_latest_version, schema_create, schema_update, detect_types, validate_records, coerce_records, transform_rules,
-              export_csv, export_parquet, load_lake, job_ledger, parse_uploads, upload_jobs, connector_union, connector_hosts, connector_recon, connector_accounts, pipeline_records, pipeline_ingest,
+              export_csv, export_parquet, load_lake, job_ledger, parse_uploads, upload_jobs, connector_union, connector_hosts, connector_recon, connector_accounts, pipeline_records, pipeline_ingest, pipeline_counts,
               stream_event_dedup, stream_subject_counts, stream_subject_counts_whole, stream_ingest, stream_ingest_whole, event_retention, event_build)
 }
 
@@ -340,6 +348,12 @@ SQL = {
         c AS (SELECT ord, name, json_extract(v, '$."' || name || '"') AS j FROM o, k), x AS (SELECT *, json_type(j) AS jt, j->>'$' AS v, trim(j->>'$') AS t FROM c), ty AS (SELECT name, v, CASE WHEN jt IS NULL OR jt = 'NULL' THEN NULL WHEN jt = 'BOOLEAN' THEN 'bool' WHEN jt IN ('UBIGINT', 'BIGINT') THEN 'int' WHEN jt = 'DOUBLE' THEN 'float' WHEN jt = 'VARCHAR' THEN {_TYPE} ELSE 'str' END AS ty FROM x),
         vote AS (SELECT name, ty, count(*) AS n FROM ty WHERE ty IS NOT NULL GROUP BY ALL), best AS (SELECT name, arg_min(ty, (-n, {_RANK})) AS ty, max(n) / sum(n) AS c FROM vote GROUP BY ALL)
         SELECT ty.name, coalesce(any_value(b.ty), 'str') AS inferred_type, bool_or(v IS NULL OR v = '') AS nullable, round(coalesce(any_value(b.c), 0.5), 6) AS confidence FROM ty LEFT JOIN best b ON ty.name = b.name GROUP BY ty.name""",
+    "pipeline_counts": f"""WITH {_WALK}, w AS (SELECT walk.id, walk.text, walk.path, r.workspace_id, r.created_at FROM walk JOIN data_records r ON walk.id = r.id),
+        found AS (SELECT id, workspace_id, created_at, entity_type, value, {_NORM} AS normalized_value FROM ({" UNION ALL ".join(f"SELECT id, workspace_id, created_at, '{t}' AS entity_type, unnest({_sql_matches(t)}) AS value FROM w" for t in E.PATTERNS)})),
+        e AS (SELECT workspace_id, entity_type, normalized_value, first(id ORDER BY created_at NULLS FIRST, id) AS id FROM found GROUP BY ALL), k AS (SELECT id, count(*) AS n FROM e GROUP BY ALL),
+        l AS (SELECT *, CASE translate(upper(entity_type), ' -', '__') {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in G.TYPE_LABELS.items())} ELSE 'Entity' END AS label FROM e)
+        SELECT 'entities' AS part, entity_type AS kind, count(*) AS n FROM e GROUP BY ALL UNION ALL SELECT 'vectors', entity_type, count(*) FROM e GROUP BY ALL UNION ALL SELECT 'nodes', label, count(*) FROM l GROUP BY ALL
+        UNION ALL SELECT 'edges', CASE WHEN n < {G.MANY} THEN 'ASSOCIATED_WITH' ELSE 'EXTRACTED_FROM' END, sum(CASE WHEN n < {G.MANY} THEN n * (n - 1) // 2 ELSE n END)::BIGINT FROM k GROUP BY ALL UNION ALL SELECT 'events', 'events.ingestion.complete', 1""",
     "schema_profile": f"""WITH {_CUST}, cells AS (SELECT ord, unnest(['key', 'c_name', 'nation', 'balance', 'segment']) AS name, unnest([c_custkey::VARCHAR, c_name, c_nationkey::VARCHAR, printf('%.2f', c_acctbal), CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END]) AS v FROM c){_INFER} SELECT * FROM prof""",
     "schema_confidence": f"""WITH {_CUST}, cells AS (SELECT ord, unnest(['mixed', 'c_name']) AS name, unnest([CASE WHEN c_custkey % 4 = 0 THEN 'x' ELSE c_nationkey::VARCHAR END, c_name]) AS v FROM c){_INFER} SELECT round(avg(confidence), 6) AS confidence FROM prof""",
     "schema_merge": """WITH f AS (SELECT id AS seq, version, unnest(json_transform(fields, '[{"name":"VARCHAR","field_type":"VARCHAR","nullable":"BOOLEAN"}]')) AS f FROM basecamp_schemas WHERE json_type(fields) = 'ARRAY'), p AS (SELECT seq, f.name, f.field_type AS ty, f.nullable, 1.0::DOUBLE / version AS c FROM f),

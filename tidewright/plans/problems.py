@@ -100,6 +100,13 @@ SQL = {
 }
 SQL["p2_merged"] = SQL["p2_found"]
 
+_KEYS = "', '".join(nested.CHILD_KEYS)
+SQL["p3_found"] = f"""
+    WITH r AS (SELECT id, CASE WHEN json_valid(data) THEN CASE WHEN json_type(data) = 'VARCHAR' AND json_valid(data->>'$') THEN (data->>'$')::JSON ELSE data::JSON END END AS v FROM data_records),
+    o AS (SELECT r.id, replace(substr(t.fullkey, CASE WHEN t.fullkey[2] = '.' THEN 3 ELSE 2 END), '"', '') AS path, t.value AS o FROM (SELECT * FROM r WHERE json_type(v) IN ('OBJECT', 'ARRAY')) r, json_tree(r.v) t WHERE t.type = 'OBJECT' AND t.fullkey <> '$'),
+    c AS (SELECT id, path, coalesce(json_extract_string(o, 'lat'), '') AS lat FROM o WHERE regexp_extract(path, '([^.\\[\\]]+)(\\[[0-9]+\\])*$', 1) IN ('{_KEYS}')),
+    p AS (SELECT c.id, c.path, max(u.path) AS parent FROM c JOIN c u ON c.id = u.id AND starts_with(c.path, u.path || '.') GROUP BY ALL)
+    SELECT c.id AS record_id, coalesce(p.parent, '') AS parent_path, c.path AS child_path, c.lat FROM c LEFT JOIN p ON c.id = p.id AND c.path = p.path"""
 #: Columns of the profiled tables. (fixed values of the tables)
 _COLUMNS = {
     "ingestion_jobs": {"string": "id workspace_id data_source_id source_id schema_id state file_name file_format error_message job_metadata", "bigint": "file_size", "int": "record_count total_records processed_records failed_records", "timestamp_ntz": "started_at created_at completed_at"},
