@@ -26,3 +26,14 @@ def join_reps(rows: DataFrame, reps: DataFrame, key: str, total: int, count_col:
     rest = rows.join(F.broadcast(reps.where(F.col(count_col) >= least).select(key)), key, "left_anti")
     cold = rest.join(reps.where(F.col(count_col) < least), key)
     return rows.join(hot, key).unionByName(cold)
+
+
+def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame | None:
+    """(key): those with at least ``total / HOT`` rows, so at most ``HOT``; None where there are too few rows for any to matter.
+
+    Only keys cross the shuffle, combined in the tasks first.
+    """
+    if total < LEAST:
+        return None
+    least = max(LEAST, -(-total // HOT))
+    return rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(key)
