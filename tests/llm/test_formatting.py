@@ -80,3 +80,15 @@ def test_powers_grow():
     a, _ = T.poly_hashes(["x" * 200_000])
     b, _ = T.poly_hashes(["-".join("x" * 200_000)])
     assert a.dtype == np.uint64 and a[0] == b[0]
+
+
+def test_hot_groups_go_by_broadcast(spark, rows, monkeypatch):
+    from tidewright.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST", 100)
+    monkeypatch.setattr(skew, "HOT", 10)
+    recs = _records(random.Random(10), 900)
+    df = spark.createDataFrame(recs, REC).repartition(6)
+    hashed = T.hashed_records(df)
+    assert skew.hot_keys(hashed, "h", hashed.count()).count() >= 1
+    assert set(rows(T.hidden_copies(df))) == _want(recs)

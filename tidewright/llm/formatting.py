@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import join_reps
+from ..operators.skew import hot_keys
 from ..session import materialize
 
 #: Types whose value is a set of named fields. (fixed values of the task's statement)
@@ -262,6 +262,45 @@ def _verify_batches(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(6), pa.array(ok, pa.bool_())], names=["h", "first_id", "copy_id", "ok"])
 
 
+def _verify_sorted(batches):
+    """Rows sorted by (h, id), a group never apart: each row after the first of its group is compared with the first, as they stream by."""
+    last = None  # (h, id, kind, value) of the first of the group that is open
+    for b in batches:
+        ids, h, kinds, values = (b.column(i).to_pylist() for i in range(4))
+        first, later = [], []
+        for i, x in enumerate(h):
+            if last is None or last[0] != x:
+                last = (x, ids[i], kinds[i], values[i])
+            elif ids[i] != last[1]:  # the same id again is the same record
+                first.append(last)
+                later.append(i)
+        same = same_records([kinds[i] for i in later], [values[i] for i in later], [f[3] for f in first])
+        ok = [s and _type_key(kinds[i]) == _type_key(f[2]) for s, i, f in zip(same, later, first)]
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in first], pa.int64()), pa.array([f[1] for f in first], pa.int64()), pa.array([ids[i] for i in later], pa.int64()), pa.array(ok, pa.bool_())], names=["h", "first_id", "copy_id", "ok"])
+
+
+PAIRS = "h bigint, first_id bigint, copy_id bigint, ok boolean"
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Every record after the first of its hash, compared with the first.
+
+    Values cross one shuffle, sorted into their groups; hashes of a thousandth
+    of all rows or more, at most a thousand, don't: their first records go to
+    the rows by broadcast.
+    """
+    hot = hot_keys(rows, "h", rows.count())
+    cold = rows if hot is None else rows.join(F.broadcast(hot), "h", "left_anti")
+    pairs = cold.select("id", "h", "kind", "value").repartition("h").sortWithinPartitions("h", "id").mapInArrow(_verify_sorted, PAIRS)
+    if hot is None:
+        return pairs
+    own = rows.join(F.broadcast(hot), "h")
+    first = own.groupBy("h").agg(F.min("id").alias("first_id"))
+    reps = own.join(F.broadcast(first), "h").where("id = first_id").dropDuplicates(["h"]).select("h", "first_id", F.col("kind").alias("rk"), F.col("value").alias("rv"))
+    more = rows.join(F.broadcast(reps), "h").where("id <> first_id").select("h", "first_id", "kind", "value", "rk", "rv", F.col("id").alias("copy_id"))
+    return pairs.unionByName(more.mapInArrow(_verify_batches, PAIRS))
+
+
 def _digest_batches(batches):
     for b in batches:
         d = list(map(digest, b.column(2).to_pylist(), b.column(3).to_pylist()))
@@ -283,12 +322,7 @@ def hidden_copies(df: DataFrame) -> DataFrame:
     empty input gives no rows.
     """
     rows = materialize(hashed_records(df), "formatting")
-    total = rows.count()
-    reps = rows.groupBy("h").agg(F.min_by(F.struct("id", "kind", "value"), "id").alias("r"), F.count("*").alias("n")).where("n > 1")
-    reps = reps.select("h", "n", F.col("r.id").alias("first_id"), F.col("r.kind").alias("rk"), F.col("r.value").alias("rv"))
-    pairs = join_reps(rows, reps, "h", total).where("id <> first_id")
-    pairs = pairs.select("h", "first_id", "kind", "value", "rk", "rv", F.col("id").alias("copy_id"))
-    found = materialize(pairs.mapInArrow(_verify_batches, "h bigint, first_id bigint, copy_id bigint, ok boolean"), "formatting-pairs")
+    found = materialize(_pairs(rows), "formatting-pairs")
     good = found.where("ok").select("h", "first_id", "copy_id").distinct()
     if not found.where("not ok").limit(1).count():
         return good.select("first_id", "copy_id")
