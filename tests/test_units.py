@@ -14,7 +14,6 @@ from tidewright.functions import entity as E
 from tidewright.functions import jsontext as J
 from tidewright.functions import web as W
 from tidewright.operators import compliance, entities, graph, records, review, schema, sinks, vectors
-from tidewright.operators.skew import join_reps
 from tidewright.sources import connectors, files
 from tidewright.streaming import events
 
@@ -271,11 +270,14 @@ def test_json_text():
     assert J.read('"{\\"a\\":1}"') == {"a": "1"} and J.read("{") is None and J.read(None) is None and J.read("[" * 5000) is None
 
 
-def test_skewed_join(spark):
-    df = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 40}") for i in range(400)], "i int, key string")
-    reps = df.groupBy("key").agg(F.count("*").alias("n"), F.min("i").alias("m"))
-    for total in (400, 60_000_000):  # few rows, and as if there were many
-        assert join_reps(df, reps, "key", total).count() == 400
+def test_hot_keys(spark, monkeypatch):
+    from tidewright.operators import skew
+
+    df = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 40}" if i % 4 else None) for i in range(400)], "i int, key string")
+    assert skew.hot_keys(df, "key", 400) is None
+    monkeypatch.setattr(skew, "LEAST", 50)
+    monkeypatch.setattr(skew, "HOT", 4)
+    assert sorted(str(r[0]) for r in skew.hot_keys(df, "key", 400).collect()) == ["None", "hot"]
 
 
 def test_no_import_of_the_text_package():

@@ -1,4 +1,4 @@
-"""Joins that stay balanced when one key holds a third of all rows."""
+"""Keys that hold a large part of all rows."""
 
 from __future__ import annotations
 
@@ -11,23 +11,6 @@ HOT = 1000
 LEAST = 50_000
 
 
-def join_reps(rows: DataFrame, reps: DataFrame, key: str, total: int, count_col: str = "n") -> DataFrame:
-    """Inner join of ``rows`` with one row per key, ``count_col`` being the number of rows of the key.
-
-    Keys with at least ``total / HOT`` rows are joined by broadcast, which by
-    their definition is at most ``HOT`` rows; all other rows are shuffled, and
-    no key among them exceeds a task.
-    """
-    least = max(LEAST, -(-total // HOT))
-    cold = rows.join(reps.where(F.col(count_col) < least), key)
-    if total < LEAST:
-        return cold
-    hot = F.broadcast(reps.where(F.col(count_col) >= least))
-    rest = rows.join(F.broadcast(reps.where(F.col(count_col) >= least).select(key)), key, "left_anti")
-    cold = rest.join(reps.where(F.col(count_col) < least), key)
-    return rows.join(hot, key).unionByName(cold)
-
-
 def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame | None:
     """(key): those with at least ``total / HOT`` rows, so at most ``HOT``; None where there are too few rows for any to matter.
 
