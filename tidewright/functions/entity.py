@@ -37,6 +37,9 @@ TAG_SIGNS = {
 #: Version stamp of enriched entities. (fixed value)
 ENRICHMENT_VERSION = "1.0.0"
 
+#: What every match of a pattern holds, so that a text without it needs no scan. (follows from the patterns)
+NEEDS = {"email": "@", "ip_address": ".", "domain": ".", "url": "://", "social_handle": "@"}
+
 #: Patterns a user has added, by type; they come after the built-in ones.
 _EXTRA: dict[str, str] = {}
 
@@ -57,7 +60,10 @@ def matches(text: Column, entity_type: str) -> Column:
     """
     p = patterns()[entity_type]
     group = 1 if "(" in p.replace("(?", "").replace(r"\(", "").replace("[(]", "") else 0
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?iU)" + p), group))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("(?iU)" + p), group))
+    if entity_type in NEEDS and entity_type not in _EXTRA:
+        return F.when(F.contains(text, F.lit(NEEDS[entity_type])), found).when(text.isNotNull(), F.array().cast("array<string>"))
+    return found
 
 
 def all_matches(text: Column) -> Column:
