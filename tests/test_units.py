@@ -270,6 +270,18 @@ def test_json_text():
     assert J.read('"{\\"a\\":1}"') == {"a": "1"} and J.read("{") is None and J.read(None) is None and J.read("[" * 5000) is None
 
 
+def test_shortcuts_find_what_the_plain_patterns_find(spark):
+    import random
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab.@-_%x9:/ user") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += ["a" * 70 + ".com " + "-" * 66 + "b.com a@b.com.d@e.fr", "user" * 40, "http://a b https://x", "", None]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for name, p in E.PATTERNS.items():
+        plain = F.array_distinct(F.regexp_extract_all("t", F.lit("(?iU)" + p), 1 if name == "username" else 0))
+        assert d.where(~plain.eqNullSafe(E.matches(F.col("t"), name))).count() == 0
+
+
 def test_hot_keys(spark, monkeypatch):
     from tidewright.operators import skew
 
